@@ -17,8 +17,13 @@ def case(*pairs, otherwise=None) -> Column:
 
 
 def lookup(col: Column, mapping: dict, otherwise=None) -> Column:
-    """A fixed mapping as one CASE expression."""
-    return case(*[(col == k, v) for k, v in mapping.items()], otherwise=otherwise)
+    """A fixed mapping: a CASE when short, a literal map (less generated code) when long."""
+    if len(mapping) <= 8 or any(v is None or isinstance(v, Column) for v in mapping.values()):
+        return case(*[(col == k, v) for k, v in mapping.items()], otherwise=otherwise)
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), col)
+    if otherwise is None:
+        return found
+    return F.coalesce(found, otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
 def compact(*pairs) -> Column:

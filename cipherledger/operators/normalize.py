@@ -61,17 +61,24 @@ def repository_of_file(detections: DataFrame, repositories: DataFrame) -> DataFr
 
 def attribute(detections: DataFrame, repositories: DataFrame,
               containers: DataFrame) -> DataFrame:
-    """Add ``repository`` and ``application``: prefix first, then the container name."""
+    """Add ``repository`` and ``application``: prefix first, then the container name.
+
+    Both lookups run on distinct (file, container) pairs; the detections themselves are
+    joined once.
+    """
     files = repository_of_file(detections, repositories).withColumnRenamed("file", "f_file")
     first_app = (containers.groupBy(F.col("container").alias("c_name"))
                  .agg(F.min_by("app_id", "ord").alias("c_app")))
-    # Only rows still without an application need the container; all other keys spread.
-    needs = F.when(F.col("repo_app").isNull(), F.col("container"))
-    return (detections
-            .join(files, spread_nulls(F.col("file"), F.col("ord"), F.col("line")) == F.col("f_file"), "left")
-            .join(first_app, spread_nulls(needs, F.col("file"), F.col("ord")) == F.col("c_name"), "left")
-            .withColumn("application", F.coalesce("repo_app", "c_app"))
-            .drop("f_file", "repo_app", "c_name", "c_app"))
+    pairs = detections.select(F.col("file").alias("a_file"), F.col("container").alias("a_container")).distinct()
+    # Only pairs still without an application need the container; other keys spread.
+    needs = F.when(F.col("repo_app").isNull(), F.col("a_container"))
+    found = (pairs.join(files, F.col("a_file") == F.col("f_file"), "left")
+             .join(first_app, spread_nulls(needs, F.col("a_file")) == F.col("c_name"), "left")
+             .select("a_file", "a_container", "repository",
+                     F.coalesce("repo_app", "c_app").alias("application"))
+             .where("repository IS NOT NULL OR application IS NOT NULL"))
+    on = (F.col("file") == F.col("a_file")) & F.col("container").eqNullSafe(F.col("a_container"))
+    return detections.join(found, on, "left").drop("a_file", "a_container")
 
 
 # --- group-merge ----------------------------------------------------------------------

@@ -1,13 +1,11 @@
-"""Compose the stages: detections -> assets -> axes -> urgency -> decision -> impact ->
-roadmap. Every function is lazy except where it writes a stage table."""
+"""Stage chains without stored results, for callers that need a single table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
 from ..knowledge import policy as pol
-from ..operators import agility, decisions, graph, impact, normalize, risk, roadmap, urgency
-from ..session import write_stage
+from ..operators import agility, decisions, normalize, risk, urgency
 
 
 def assessed_assets(detections: DataFrame, estate, policy: str = pol.DEFAULT_POLICY,
@@ -17,31 +15,9 @@ def assessed_assets(detections: DataFrame, estate, policy: str = pol.DEFAULT_POL
     return agility.assess_agility(risk.assess(assets, weights))
 
 
-def prioritised_assets(detections: DataFrame, estate, as_of: Column,
-                       policy: str = pol.DEFAULT_POLICY,
-                       crqc_year: int = pol.DEFAULT_CRQC_YEAR) -> DataFrame:
-    return urgency.apply_scenario(assessed_assets(detections, estate, policy), as_of, crqc_year)
-
-
 def decided_assets(detections: DataFrame, estate, as_of: Column,
                    policy: str = pol.DEFAULT_POLICY,
-                   crqc_year: int = pol.DEFAULT_CRQC_YEAR,
-                   centrality: bool = True) -> DataFrame:
-    """Assets with decisions. Centrality feeds only an explanatory note, so callers that
-    do not read it may skip that stage."""
-    assets = normalize.normalize(detections, estate)
-    if centrality:
-        assets = graph.with_centrality(write_stage(assets, "assets"), estate)
-    assets = agility.assess_agility(risk.assess(risk.with_policy(assets, policy)))
+                   crqc_year: int = pol.DEFAULT_CRQC_YEAR) -> DataFrame:
+    """Assets with decisions, fully lazy; coupling notes need the centrality stage."""
+    assets = assessed_assets(detections, estate, policy)
     return decisions.decide(urgency.apply_scenario(assets, as_of, crqc_year))
-
-
-def impacted_assets(detections: DataFrame, estate, as_of: Column,
-                    policy: str = pol.DEFAULT_POLICY,
-                    crqc_year: int = pol.DEFAULT_CRQC_YEAR) -> DataFrame:
-    return impact.build_impacts(
-        decided_assets(detections, estate, as_of, policy, crqc_year), estate)
-
-
-def roadmap_items(impacts: DataFrame) -> DataFrame:
-    return roadmap.build_items(impacts)

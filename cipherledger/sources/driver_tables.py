@@ -14,6 +14,7 @@ from ..knowledge import algorithms as kb
 from ..knowledge import libraries as lib
 from ..knowledge.tables import dimension
 from ..operators.certificates import certificate_detections
+from ..session import spread
 from .estate import Estate
 from .schemas import DETECTOR_RANK, conform
 
@@ -149,12 +150,16 @@ ROOT_SQL = {
 }
 
 
+LARGE = ("lineitem", "orders", "documents", "pages", "events")
+
+
 def columns(sql: dict) -> list[str]:
     return [f"{e} AS {n}" for n, e in sql.items()]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
