@@ -253,7 +253,7 @@ def critical_paths(pairs: DataFrame, focus: DataFrame, max_chain: int = MAX_CHAI
     paths = focus.select("asset_id", F.col("asset_id").alias("head"), F.array("asset_id").alias("path"))
     best = paths
     for i in range(max_chain):
-        paths = (paths.join(step, paths.head == step.at)
+        paths = (paths.join(step, F.col("head") == F.col("at"))
                  .where(~F.array_contains("path", F.col("nxt")))
                  .select("asset_id", F.col("nxt").alias("head"),
                          F.concat(F.array("nxt"), "path").alias("path")))
