@@ -244,8 +244,8 @@ def widest_blast_radius(spark, sf) -> DataFrame:
 @register("owner_rollup", o.query(IMPACT_CTE, """
 , o AS (SELECT asset_id, unit AS owner FROM reach WHERE kind = 'owner'),
 oa AS (SELECT owner, count(DISTINCT unit) AS applications FROM o JOIN reach USING (asset_id) WHERE kind = 'application' GROUP BY 1)
-SELECT owner, count(*) AS assets, any_value(applications) AS applications, max(coordinated_effort_months) AS longest_coordinated_months
-FROM o JOIN impacts USING (asset_id) JOIN oa USING (owner) GROUP BY 1""".replace("any_value(applications)", "any_value(oa.applications)")))
+SELECT o.owner, count(*) AS assets, any_value(oa.applications) AS applications, max(coordinated_effort_months) AS longest_coordinated_months
+FROM o JOIN impacts USING (asset_id) JOIN oa ON o.owner = oa.owner GROUP BY 1"""))
 def owner_rollup(spark, sf) -> DataFrame:
     s = scan(spark, sf)
     return impact.owner_rollup(s.impacts, s.estate)
