@@ -92,7 +92,7 @@ def _per_line(pattern: str, *groups: str) -> Column:
     def on_line(l, i):
         parts = [F.regexp_extract_all(l, rx, F.lit(g + 1)) for g in range(len(groups))]
         return F.transform(parts[0], lambda v, k: F.struct(
-            (i + 1).alias("line"), k.alias("k"), *[F.get(p, k).alias(n) for p, n in zip(parts, groups)]))
+            (i + 1).alias("line"), k.alias("k"), l.alias("text"), *[F.get(p, k).alias(n) for p, n in zip(parts, groups)]))
 
     return F.flatten(F.transform("lines", on_line))
 
@@ -109,7 +109,7 @@ def call_facts(files: DataFrame) -> DataFrame:
             F.coalesce(_some(F.regexp_extract(n, r"\sas\s+(\w+)", 1)), F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("alias"),
             F.concat_ws(".", m["module"], F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("module")))))
     return f.select(
-        "path", "lines", F.concat(plain, froms).alias("imports"),
+        "path", F.concat(plain, froms).alias("imports"),
         _per_line(r"^\s*(\w+)\s*=\s*(\d+)\s*(?:#.*)?$", "name", "value").alias("constants"),
         _per_line(r"^\s*(\w+)\s*=\s*" + RANDOM + r"\(\s*(\w+)", "name", "size").alias("buffers"),
         _per_line(METHOD_USE, "var", "method").alias("uses"),
@@ -168,22 +168,20 @@ def argument(args: Column, where: Column) -> Column:
 
 def call_detections(files: DataFrame) -> DataFrame:
     """High-confidence detections of resolved calls to known cryptographic APIs."""
-    facts = call_facts(files).where(F.size("calls") > 0)
+    facts = call_facts(files)
     c = F.col
 
-    def resolve(x):
-        line = F.element_at("lines", x["line"])
-        target = F.regexp_extract(line, r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1)
-        canon = canonical(x["callee"])
-        use = F.array_min(F.filter(F.transform("uses", lambda u: F.struct(
-            F.when(u["var"] == target, u["line"]).alias("line"), u["k"].alias("k"), u["method"].alias("method"))),
-            lambda u: u["line"].isNotNull()))
-        return F.struct(x["line"].alias("line"), x["k"].alias("k"), x["callee"].alias("callee"), x["args"].alias("args"),
-                        line.alias("text"), canon.alias("canon"), matched_api(canon, x["callee"]).alias("api"),
-                        use["method"].alias("method"))
-
-    rows = facts.select("path", "constants", "buffers", F.explode(F.filter(
-        F.transform("calls", resolve), lambda r: r["api"].isNotNull())).alias("r")).select("path", "constants", "buffers", "r.*")
+    # Calls leave the row one by one with the facts of their file; an outer explode keeps
+    # the optimizer from evaluating the fact arrays again in a filter.
+    rows = facts.select("path", "imports", "constants", "buffers", "uses", F.explode_outer("calls").alias("r")).where(
+        "r IS NOT NULL").select("path", "imports", "constants", "buffers", "uses", "r.*")
+    rows = rows.withColumn("canon", canonical(c("callee")))
+    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).where("api IS NOT NULL")
+    rows = rows.withColumn("target", F.regexp_extract("text", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
+    use = F.array_min(F.filter(F.transform("uses", lambda u: F.struct(
+        F.when(u["var"] == c("target"), u["line"]).alias("line"), u["k"].alias("k"), u["method"].alias("method"))),
+        lambda u: u["line"].isNotNull()))
+    rows = rows.withColumn("method", use["method"])
     by = lambda i: lookup(c("api"), {a[0]: a[i] for a in APIS if a[i] is not None})
     rows = rows.withColumns({"base": by(1), "api_role": by(2), "library": by(3), "what": by(4), "where": by(5)})
     rows = rows.withColumn("arg", argument(c("args"), c("where")))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import registry_graph, registry_reports  # noqa: F401
+from . import registry_graph, registry_reports, registry_text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

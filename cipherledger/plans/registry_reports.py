@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import guard_keys, lookup, redact
-from ..operators import cbom, governance, inventory, roadmap, rollups
+from ..operators import cbom, governance, inventory, risk, roadmap, rollups
 from ..sources import driver_tables as dt
 from ..sources import export
 from . import oracle_base as o
@@ -325,10 +325,10 @@ def remediation_status(spark, sf) -> DataFrame:
     return governance.current_status(status_events(spark, sf))
 
 
-OVERRIDE_SQL = """, ranked AS (SELECT asset_id, row_number() OVER (ORDER BY asset_id) AS n FROM risk),
+OVERRIDE_SQL = """,
 ov AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'purchase' THEN 'migration_effort' WHEN 'error' THEN 'exposure' ELSE 'owner' END AS field,
   CASE event_type WHEN 'purchase' THEN 'very-high' WHEN 'error' THEN 'isolated' ELSE 'user-' || user_id END AS value FROM events),
-target AS (SELECT ov.*, asset_id FROM ov JOIN ranked ON user_id + 1 = n)"""
+target AS (SELECT ov.*, asset_id FROM ov JOIN risk ON p_c_serial = 'o' || user_id)"""
 
 
 @register("field_overrides", o.query(o.RISK_CTE, OVERRIDE_SQL + """,
@@ -337,15 +337,13 @@ latest AS (SELECT asset_id, last(value ORDER BY ts, event_id) FILTER (WHERE fiel
 SELECT asset_id, coalesce(e, migration_effort) AS migration_effort, coalesce(x, exposure) AS exposure, coalesce(w, owner) AS owner, CASE WHEN latest.asset_id IS NOT NULL THEN 'operator-declared' ELSE context_source END AS context_source
 FROM risk LEFT JOIN latest USING (asset_id)""".replace("CASE WHEN latest.asset_id IS NOT NULL", "CASE WHEN coalesce(e, x, w) IS NOT NULL")))
 def field_overrides(spark, sf) -> DataFrame:
-    """Events as overrides: the n-th user edits the n-th asset by id."""
-    from ..operators import risk
+    """Events as overrides: a user edits the assets of the certificate with its number."""
     s = scan(spark, sf)
-    users = dt.table(spark, sf, "events")
-    top = users.agg(F.max("user_id").alias("m")).first()["m"]
-    first = s.assets.select("asset_id").orderBy("asset_id").limit(int(top) + 1)
-    ids = first.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("asset_id string, user_id bigint")
     field = F.when(F.col("event_type") == "purchase", "migration_effort").when(F.col("event_type") == "error", "exposure").otherwise("owner")
     value = F.when(F.col("event_type") == "purchase", "very-high").when(F.col("event_type") == "error", "isolated").otherwise(F.concat(F.lit("user-"), "user_id"))
-    overrides = users.select("event_id", "ts", "user_id", field.alias("field"), value.alias("value")).join(ids, "user_id").drop("user_id")
-    a = risk.assess(risk.with_policy(governance.apply_overrides(s.assets, overrides), s.policy))
+    edits = dt.table(spark, sf, "events").select("event_id", "ts", F.concat(F.lit("o"), "user_id").alias("serial"),
+                                                 field.alias("field"), value.alias("value"))
+    held = s.assets.where("certificate_serial IS NOT NULL").select("asset_id", F.col("certificate_serial").alias("serial"))
+    a = governance.apply_overrides(s.assets, edits.join(held, "serial").drop("serial"))
+    a = risk.assess(risk.with_policy(a, s.policy))
     return a.select("asset_id", "migration_effort", "exposure", "owner", "context_source")
