@@ -176,12 +176,15 @@ def call_detections(files: DataFrame) -> DataFrame:
     rows = facts.select("path", "imports", "constants", "buffers", "uses", F.explode_outer("calls").alias("r")).where(
         "r IS NOT NULL").select("path", "imports", "constants", "buffers", "uses", "r.*")
     rows = rows.withColumn("canon", canonical(c("callee")))
-    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).where("api IS NOT NULL")
-    rows = rows.withColumn("target", F.regexp_extract("text", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
+    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).withColumn("target", F.regexp_extract("text", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
     use = F.array_min(F.filter(F.transform("uses", lambda u: F.struct(
         F.when(u["var"] == c("target"), u["line"]).alias("line"), u["k"].alias("k"), u["method"].alias("method"))),
         lambda u: u["line"].isNotNull()))
-    rows = rows.withColumn("method", use["method"])
+    # A one-element explode is a fence: filters further up are not rewritten into copies
+    # of the expressions below it.
+    rows = rows.select("path", "constants", "buffers", F.explode_outer(F.array(F.struct(
+        "line", "k", "text", "args", "canon", "api", use["method"].alias("method")))).alias("r")).where(
+        "r.api IS NOT NULL").select("path", "constants", "buffers", "r.*")
     by = lambda i: lookup(c("api"), {a[0]: a[i] for a in APIS if a[i] is not None})
     rows = rows.withColumns({"base": by(1), "api_role": by(2), "library": by(3), "what": by(4), "where": by(5)})
     rows = rows.withColumn("arg", argument(c("args"), c("where")))
