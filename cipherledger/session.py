@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -39,16 +40,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_LOCAL: dict[str, str] = {}
+_STAGES: dict[str, SparkSession] = {}
+
+
 def stage_directory(spark: SparkSession) -> str:
-    """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session."""
+    """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session. A local
+    session without it gets one temporary folder per application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
@@ -56,9 +63,36 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where a table feeds many later joins or an iteration: it cuts the lineage,
     survives lost executors, lets every reader prune columns, and gives the optimizer
-    real sizes.
+    real sizes. ``drop_stage`` removes it; what is left goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{stage_directory(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Remove stage tables that nothing reads any more."""
+    for path in [getattr(t, "stage_path", None) for t in tables]:
+        if path in _STAGES:
+            _remove(_STAGES.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    while _STAGES:
+        path, spark = _STAGES.popitem()
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session has gone; its folder is cleared with it
+            return
