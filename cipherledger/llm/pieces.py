@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Bounds of the memory a worker spends on remembered cuts, and of the rows merged together.
-CACHE_ENTRIES, MATRIX_CHARS, MATRIX_ROWS = 500_000, 32, 16_384
-SLICE_BYTES, CHECKED = 4_000_000, 256
+CACHE_ENTRIES, MATRIX_CHARS, MATRIX_ROWS = 200_000, 32, 8_192
+SLICE_BYTES, CHECKED = 2_000_000, 256
 NEVER = np.iinfo(np.int32).max
 
 
