@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, simhash
+from . import order_minhash, pieces, simhash, token_counts, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Vocabulary files are read where they are installed; a path of one's own works as well.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -39,3 +40,22 @@ def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_length_histogram")
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded lengths of all documents with suffix sums: each row answers its own limit."""
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return token_counts.length_histogram(lengths)
+
+
+@query("op5_order_minhash")
+def order_minhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return order_minhash.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op10_int8_vectors")
+def int8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
