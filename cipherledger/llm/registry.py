@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash, pieces, simhash, token_counts, vectors
+from . import order_minhash, pieces, simhash, token_counts, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,9 @@ def order_minhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def int8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors within their labels."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict for the url of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_table(spark))
