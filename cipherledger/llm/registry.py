@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash, pieces, simhash, token_counts, urls, vectors
+from . import order_minhash, pieces, sharding, simhash, token_counts, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ def int8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict for the url of every page."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_table(spark))
+
+
+@query("op3_kd_shards")
+def kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
