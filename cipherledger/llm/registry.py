@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import order_minhash, pieces, sharding, simhash, token_counts, urls, vectors
+from . import order_minhash, pieces, sharding, simhash, token_counts, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op8_revisits", warc.SQL)
+def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit in the crawl of all pages with the response it stands for."""
+    out = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url", "at", "status", "response_id", warc.header_lines(F.col("headers")).alias("header_lines"))
