@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import order_minhash, pieces, sharding, simhash, token_counts, urls, vectors, warc
+from . import mixing, order_minhash, pieces, quality, sharding, simhash, token_counts, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,20 @@ def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit in the crawl of all pages with the response it stands for."""
     out = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
     return out.select("record_id", "url", "at", "status", "response_id", warc.header_lines(F.col("headers")).alias("header_lines"))
+
+
+@query("op2_rule_quality")
+def rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_soft_mixing")
+def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
