@@ -42,7 +42,8 @@ def statistics(text: Column) -> dict[str, Column]:
             "distinct": F.size(F.array_distinct(words)) / F.greatest(n_words, F.lit(1)), **share}
 
 
-NAMES = list(statistics(F.lit("")))
+#: The statistics in the order of the trees' features.
+NAMES = ["words", "word_length", "distinct", *CHARACTERS]
 
 
 @dataclass(frozen=True)
