@@ -65,16 +65,17 @@ def numbered_kmers(points: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarr
         h = h[:-width] * np.uint64(power) + h[width:] if width < len(h) else h[:0]
         power, width = power * power % 2**64, 2 * width
     bits = np.uint64(max(1, int(len(out) - 1).bit_length()))
-    order = np.sort((_mixed(out) >> bits << bits) | np.arange(len(out), dtype=np.uint64))
-    place = order & ((np.uint64(1) << bits) - np.uint64(1))
-    gram = order >> bits
-    repeats = np.flatnonzero(gram[1:] == gram[:-1]) + 1
-    code = gram * _MIX
+    gram = _mixed(out)
+    order = np.sort((gram >> bits << bits) | np.arange(len(out), dtype=np.uint64))  # equal k-mers by place
+    place = (order & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    order >>= bits
+    repeats = np.flatnonzero(order[1:] == order[:-1]) + 1
+    code = gram[place] * _MIX
     if len(repeats):  # the n-th repeat in a run of repeats is occurrence n
         step = np.arange(len(repeats))
         run = np.flatnonzero(np.concatenate(([True], repeats[1:] != repeats[:-1] + 1)))
         code[repeats] += (step - np.repeat(run, np.diff(np.append(run, len(repeats)))) + 1).astype(np.uint64)
-    return _mixed(code), place.view(np.int64)
+    return _mixed(code), place
 
 
 def fingerprint(points: np.ndarray, k: int = K, slots: int = SLOTS, tuple_size: int = TUPLE) -> np.ndarray:
