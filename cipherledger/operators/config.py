@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import case, extension, lookup
-from ..functions.text import find_all, line_text, strip
+from ..functions.text import find_all, strip
 from ..knowledge import algorithms as kb
 from ..sources.schemas import DETECTOR_RANK, conform
 from .normalize import with_algorithm
@@ -73,7 +73,7 @@ def resolve_name(name: Column) -> Column:
     index = F.create_map(*[F.lit(v) for kv in kb.alias_rows() for v in kv])
     tries = [index[key]]
     for prefix in LOOSE_PREFIXES:
-        rest = F.regexp_replace(F.substring(key, len(prefix) + 1, 10000), "^-+", "")
+        rest = F.regexp_replace(F.substring(key, F.lit(len(prefix) + 1), F.length(key)), "^-+", "")
         stem = prefix.rstrip("-")
         tries.append(F.when(key.startswith(prefix), index[F.when(rest != "", F.concat(F.lit(stem + "-"), rest)).otherwise(prefix)]))
     return F.when(name != "", F.coalesce(*tries, index[F.substring_index(key, "-", 1)]))
@@ -100,10 +100,10 @@ def protocol_rows(files: DataFrame) -> DataFrame:
     token keeps its raw value."""
     hits = F.concat(*[F.coalesce(F.transform(find_all(F.col("text"), rx, value=1), lambda m: F.struct(
         F.lit(i).alias("rule"), F.lit(fam).alias("family"), F.lit(label).alias("label"),
-        m["line"].alias("line"), m["pos"].alias("pos"), m["value"].alias("value"))),
-        F.array().cast("array<struct<rule:int,family:string,label:string,line:int,pos:int,value:string>>"))
+        m["line"].alias("line"), m["source"].alias("source"), m["pos"].alias("pos"), m["value"].alias("value"))),
+        F.array().cast("array<struct<rule:int,family:string,label:string,line:int,source:string,pos:int,value:string>>"))
         for i, (rx, fam, label) in enumerate(DIRECTIVES)])
-    rows = files.select("path", "text", F.explode(hits).alias("h")).select("path", "text", "h.*")
+    rows = files.select("path", F.explode(hits).alias("h")).select("path", "h.*")
     tokens = F.regexp_extract_all("value", F.lit(TLS_TOKEN), F.lit(1))
     raw = F.when(F.col("family").isin("SSH", "IKE"), F.array(F.lit(None).cast("string")))
     rows = rows.withColumn("tokens", F.when(F.size(tokens) > 0, tokens).otherwise(raw))
@@ -115,17 +115,17 @@ def protocol_rows(files: DataFrame) -> DataFrame:
                  protocol_version=F.when(plain, strip(F.col("value"))).otherwise(ver),
                  matched=F.coalesce("token", strip(F.col("value"))), api_call=F.col("label"),
                  ord=F.col("rule").cast("bigint") * 10**9 + F.col("pos") * 1000 + F.col("k"), sub=F.lit(0),
-                 snippet=F.coalesce(line_text(F.col("text"), F.col("line")), F.col("value")),
+                 snippet=F.col("source"),
                  reasoning=F.lit("protocol directive"))
 
 
 def suite_rows(files: DataFrame) -> DataFrame:
     """Algorithms of each cipher-suite string, and its weak tokens."""
-    rows = files.select("path", "text", F.explode(find_all(F.col("text"), CIPHERS, value=1)).alias("m")).select(
-        "path", "text", "m.line", "m.pos", strip(F.col("m.value")).alias("suite"))
+    rows = files.select("path", F.explode(find_all(F.col("text"), CIPHERS, value=1)).alias("m")).select(
+        "path", "m.line", "m.source", "m.pos", strip(F.col("m.value")).alias("suite"))
     found = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.col("suite").rlike("(?i)" + rx), F.lit(a)) for rx, a in SUITE_ALGORITHMS])))
-    snippet = F.substring(F.coalesce(line_text(F.col("text"), F.col("line")), F.col("suite")), 1, 200)
+    snippet = F.substring(F.col("source"), 1, 200)
     algs = with_algorithm(rows.select("*", F.posexplode(found).alias("k", "algorithm")))
     role = case((F.col("kb_family") == "RSA", kb.AUTH),
                 ((F.col("kb_default_role") == kb.UNKNOWN) & (F.col("kb_primitive") == "key-agree"), kb.KE),
@@ -144,8 +144,8 @@ def suite_rows(files: DataFrame) -> DataFrame:
 
 def group_rows(files: DataFrame) -> DataFrame:
     """Key-exchange groups; the streamlined-prime hybrid is recorded as X25519."""
-    rows = files.select("path", "text", F.explode(find_all(F.col("text"), GROUPS, value=1)).alias("m")).select(
-        "path", "text", "m.line", "m.pos", strip(F.col("m.value")).alias("value"))
+    rows = files.select("path", F.explode(find_all(F.col("text"), GROUPS, value=1)).alias("m")).select(
+        "path", "m.line", "m.source", "m.pos", strip(F.col("m.value")).alias("value"))
     rows = rows.select("*", F.posexplode(F.split("value", r"[:,\s]+")).alias("k", "token")).where("token <> ''")
     rows = with_algorithm(rows.withColumn("algorithm", resolve_name(F.col("token"))))
     exchange = F.coalesce(F.col("kb_primitive").isin("key-agree", "kem", "combiner"), F.lit(False))
@@ -156,18 +156,18 @@ def group_rows(files: DataFrame) -> DataFrame:
                  protocol=F.when(F.col("prime"), "SSH").otherwise("TLS"), matched=F.col("token"),
                  api_call=F.when(F.col("prime"), "ssh-kex-config").otherwise("supported-groups-config"),
                  hybrid_non_nist=F.col("prime"), ord=F.lit(2 * 10**10).cast("bigint") + F.col("pos") * 1000 + F.col("k"),
-                 sub=F.lit(0), snippet=F.substring(F.coalesce(line_text(F.col("text"), F.col("line")), F.col("value")), 1, 200),
+                 sub=F.lit(0), snippet=F.substring(F.col("source"), 1, 200),
                  reasoning=F.lit("key-exchange group in configuration"))
 
 
 def reference_rows(files: DataFrame) -> DataFrame:
     """Certificate and private-key file references; only the path is recorded."""
-    rows = files.select("path", "text", F.explode(find_all(F.col("text"), REFERENCES, whole=0, ref=1)).alias("m")).select(
-        "path", "text", "m.line", "m.pos", "m.whole", "m.ref")
+    rows = files.select("path", F.explode(find_all(F.col("text"), REFERENCES, whole=0, ref=1)).alias("m")).select(
+        "path", "m.line", "m.source", "m.pos", "m.whole", "m.ref")
     is_key = F.col("whole").rlike("(?i)key") & ~F.contains(F.lower("whole"), F.lit("keystore"))
     return _base(rows, method=F.lit("config-directive"), matched=F.col("ref"), api_call=F.lit("pki-file-reference"),
                  ord=F.lit(3 * 10**10).cast("bigint") + F.col("pos") * 1000, sub=F.lit(0),
-                 snippet=F.substring(F.coalesce(line_text(F.col("text"), F.col("line")), F.col("ref")), 1, 200),
+                 snippet=F.substring(F.col("source"), 1, 200),
                  reasoning=F.when(is_key, "private-key file reference").otherwise("certificate reference"))
 
 
