@@ -33,9 +33,8 @@ SYMBOLS = [
 TLS_STRINGS = [(r"TLSv1\.3", "TLS", "1.3"), (r"TLSv1\.2", "TLS", "1.2"), (r"TLSv1\.1", "TLS", "1.1"),
                (r"TLSv1(?![\.0-9])", "TLS", "1.0"), (r"SSLv3", "SSL", "3.0")]
 OPENSSL_VERSION = r"OpenSSL\s+(\d+\.\d+\.\d+[a-z]?)"
-PRINTABLE = r"[\x20-\x7e]{6,200}"
+PRINTABLE = r"[\x20-\x7e]{6,}"
 MARKERS = (r"EVP_|SSL|TLS|AES|RSA|SHA|ECDSA|OpenSSL|libcrypto|MD5|ML-KEM|ML_KEM|ChaCha|X25519|kem")
-KEPT_STRINGS = 600
 
 
 def _common(kind: str, language: Column) -> dict:
@@ -83,7 +82,7 @@ def symbol_detections(symbols: DataFrame) -> DataFrame:
 def string_detections(binaries: DataFrame) -> DataFrame:
     """Rows (file, fmt, content): protocol versions named in marker strings."""
     text = F.decode("content", "ISO-8859-1")
-    strings = F.slice(F.filter(F.regexp_extract_all(text, F.lit(PRINTABLE), F.lit(0)), lambda s: s.rlike(MARKERS)), 1, KEPT_STRINGS)
+    strings = F.filter(F.regexp_extract_all(text, F.lit(PRINTABLE), F.lit(0)), lambda s: s.rlike(MARKERS))
     blob = F.array_join(strings, "\n")
     found = F.array_compact(F.array(*[F.when(F.col("blob").rlike(rx), F.struct(
         F.lit(i).alias("n"), F.lit(p).alias("p"), F.lit(v).alias("v"))) for i, (rx, p, v) in enumerate(TLS_STRINGS)]))

@@ -125,7 +125,7 @@ def suite_rows(files: DataFrame) -> DataFrame:
         "path", "m.line", "m.source", "m.pos", strip(F.col("m.value")).alias("suite"))
     found = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.col("suite").rlike("(?i)" + rx), F.lit(a)) for rx, a in SUITE_ALGORITHMS])))
-    snippet = F.substring(F.col("source"), 1, 200)
+    snippet = F.col("source")
     algs = with_algorithm(rows.select("*", F.posexplode(found).alias("k", "algorithm")))
     role = case((F.col("kb_family") == "RSA", kb.AUTH),
                 ((F.col("kb_default_role") == kb.UNKNOWN) & (F.col("kb_primitive") == "key-agree"), kb.KE),
@@ -137,7 +137,7 @@ def suite_rows(files: DataFrame) -> DataFrame:
     weak = rows.withColumn("weak_suite_tokens", F.array_sort(F.array_distinct(F.regexp_extract_all("suite", F.lit(WEAK), F.lit(1)))))
     w = _base(weak.where(F.size("weak_suite_tokens") > 0), method=F.lit("config-cipher-suite"), protocol=F.lit("TLS"),
               matched=F.array_join("weak_suite_tokens", ","), api_call=F.lit("cipher-suite-config"),
-              ord=order + 999, sub=F.lit(0), snippet=F.substring("suite", 1, 200),
+              ord=order + 999, sub=F.lit(0), snippet=F.col("suite"),
               reasoning=F.lit("suite string permits weak families"))
     return a.unionByName(w)
 
@@ -156,7 +156,7 @@ def group_rows(files: DataFrame) -> DataFrame:
                  protocol=F.when(F.col("prime"), "SSH").otherwise("TLS"), matched=F.col("token"),
                  api_call=F.when(F.col("prime"), "ssh-kex-config").otherwise("supported-groups-config"),
                  hybrid_non_nist=F.col("prime"), ord=F.lit(2 * 10**10).cast("bigint") + F.col("pos") * 1000 + F.col("k"),
-                 sub=F.lit(0), snippet=F.substring(F.col("source"), 1, 200),
+                 sub=F.lit(0), snippet=F.col("source"),
                  reasoning=F.lit("key-exchange group in configuration"))
 
 
@@ -167,7 +167,7 @@ def reference_rows(files: DataFrame) -> DataFrame:
     is_key = F.col("whole").rlike("(?i)key") & ~F.contains(F.lower("whole"), F.lit("keystore"))
     return _base(rows, method=F.lit("config-directive"), matched=F.col("ref"), api_call=F.lit("pki-file-reference"),
                  ord=F.lit(3 * 10**10).cast("bigint") + F.col("pos") * 1000, sub=F.lit(0),
-                 snippet=F.substring(F.col("source"), 1, 200),
+                 snippet=F.col("source"),
                  reasoning=F.when(is_key, "private-key file reference").otherwise("certificate reference"))
 
 

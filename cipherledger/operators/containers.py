@@ -107,7 +107,7 @@ def container_facts(files: DataFrame) -> DataFrame:
     each = each.select("path", "text", "i", F.coalesce("z.name", short).alias("container"), F.col("z.image").alias("image"))
     images_k = each.select(*base, F.lit("image").alias("kind"), (F.col("i").cast("bigint") * 10**10).alias("ord"),
                            F.col("image").alias("a"), F.lit(None).cast("string").alias("b"))
-    settings = facts(each.where("i = 0"), TLS_KEYS, "setting", 5, key=1, value=2).withColumn("b", F.substring(strip(F.col("b")), 1, 80))
+    settings = facts(each.where("i = 0"), TLS_KEYS, "setting", 5, key=1, value=2).withColumn("b", strip(F.col("b")))
     return reduce(DataFrame.unionByName, [
         facts(docker, FROM, "image", 0, image=1),
         packages(docker, OS_INSTALL, "os-package", 1, os_version),

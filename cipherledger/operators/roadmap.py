@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import case, lookup
+from ..functions.columns import case, lookup, spread_nulls
 from ..knowledge import algorithms as kb
 from ..knowledge import policy as pol
 from ..knowledge.tables import dimension
-from ..session import write_stage
+from ..session import drop_stage, write_stage
 from .impact import pki_pairs, with_gates
 from .risk import tagged
 
@@ -51,9 +51,10 @@ def placement() -> Column:
         otherwise=out("PH5", "other"))
 
 
-def hoist(items: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def hoist(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(asset_id, hoisted phase number): a blocker inherits the earliest implementation
-    phase of anything it blocks, to the fixpoint. PH1 is exempt on both sides.
+    phase of anything it blocks, to the fixpoint. PH1 is exempt on both sides. Phases only
+    fall, so the rounds end however deep the chains are.
 
     Minima are taken per library, protocol and issuer, never over pairs. Only gating
     items can move, so the other items are reduced to their minima once and each round
@@ -75,21 +76,22 @@ def hoist(items: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> DataFrame
         return libs, protos, issued
 
     static = [write_stage(m, "hoist-min") for m in minima(fixed)]
-    for i in range(max_rounds):
+    before, moved = None, True
+    while moved:
         libs, protos, issued = [
             s.unionByName(m).groupBy(s.columns[0]).agg(F.min(s.columns[1]).alias(s.columns[1]))
             for s, m in zip(static, minima(state))]
-        nxt = (state.join(libs, "library_node", "left").join(protos, "protocol_node", "left")
+        nxt = (state.join(libs.withColumnRenamed("library_node", "lib"), spread_nulls(F.col("library_node"), F.col("asset_id")) == F.col("lib"), "left")
+               .join(protos.withColumnRenamed("protocol_node", "proto"), spread_nulls(F.col("protocol_node"), F.col("asset_id")) == F.col("proto"), "left")
                .join(issued.withColumnRenamed("prereq_id", "asset_id"), "asset_id", "left"))
         best = F.least("n", F.when(F.col("is_provider"), F.col("lib_n")),
                        F.when(F.col("is_gate"), F.col("proto_n")), F.col("pki_n"))
         nxt = write_stage(nxt.select(*[c for c in state.columns if c != "n"], best.alias("n"),
-                                     (best < F.col("n")).alias("moved")), f"hoist-{i}")
+                                     (best < F.col("n")).alias("moved")), "hoist-round")
         moved = not nxt.where("moved").isEmpty()
-        state = nxt.drop("moved")
-        if not moved:
-            return state.select("asset_id", F.col("n").alias("hoisted"))
-    raise RuntimeError("hoisting did not settle")
+        drop_stage(*[b for b in [before] if b is not None])
+        before, state = nxt, nxt.drop("moved")
+    return state.select("asset_id", F.col("n").alias("hoisted"))
 
 
 def location() -> Column:

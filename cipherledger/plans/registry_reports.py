@@ -251,11 +251,11 @@ def asset_csv_table(spark, sf) -> DataFrame:
 
 
 @register("roadmap_csv_table", o.query(ITEMS_CTE, """
-, r AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY unblocks DESC, migration_priority DESC, asset_id) AS rank FROM items)
-SELECT phase, asset_id, asset_name, application, coalesce(recommended_hybrid, recommended_pqc) AS target, coordinated_effort_months AS coordinated_months, blast_radius, prerequisites, unblocks, rank FROM r WHERE rank <= 60"""))
+
+SELECT phase, asset_id, asset_name, application, coalesce(recommended_hybrid, recommended_pqc) AS target, coordinated_effort_months AS coordinated_months, blast_radius, prerequisites, unblocks FROM items"""))
 def roadmap_csv_table(spark, sf) -> DataFrame:
     return export.roadmap_table(scan(spark, sf).items).select(
-        "phase", "asset_id", "asset_name", "application", "target", "coordinated_months", "blast_radius", "prerequisites", "unblocks", "rank")
+        "phase", "asset_id", "asset_name", "application", "target", "coordinated_months", "blast_radius", "prerequisites", "unblocks")
 
 
 @register("impact_csv_table", o.query(IMPACT_CTE, """

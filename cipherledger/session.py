@@ -33,13 +33,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores. Large inputs have more
-    splits than that and pass through without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 _LOCAL: dict[str, str] = {}
 _STAGES: dict[str, SparkSession] = {}
 
