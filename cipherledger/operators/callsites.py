@@ -1,8 +1,9 @@
 """Python call sites from line-level facts: imports, constants, calls and key uses.
 
 All facts of a file are arrays in that file's row, so resolving names, constants and
-roles is row-local; the only rows that leave are matched calls. Arguments on later lines
-than the call are not seen. Role refinement takes the lowest line.
+roles is row-local; the only rows that leave are calls that may match. Comments and
+docstrings are blanked first, and lines are joined while a parenthesis is open, under the
+number of the first. Role refinement takes the lowest line.
 """
 
 from __future__ import annotations
@@ -79,6 +80,25 @@ MODES = ("gcm", "cbc", "ctr", "ccm", "ecb", "ofb", "cfb")
 RANDOM = r"(?:\w+\.)*(?:urandom|token_bytes|get_random_bytes)"
 CALL = r"\b((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)\s*\((?=([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*))"
 METHOD_USE = r"\b([A-Za-z_]\w*)\.(sign|verify|decrypt|encrypt|exchange|derive|encapsulate|decapsulate)\s*\("
+# Comments, strings of either length and the text between them; parts in parentheses.
+TOKEN = r"""(?s)\"{3}.*?(?:\"{3}|\z)|'{3}.*?(?:'{3}|\z)|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*|[^"'#]++|["']"""
+NESTED = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)|[^()]++|[()]"
+NUMBER_END = "\ue001"
+
+
+def logical_lines(text: Column) -> Column:
+    """array<struct<line, code>>: lines without comments and docstrings, joined while a
+    parenthesis is open. Strings keep their words but lose parentheses, so that calls named
+    in them are none."""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: case(
+        (t.startswith("#"), F.lit("")),
+        (t.startswith('"' * 3) | t.startswith("'" * 3), F.regexp_replace(t, r"[^\n]", "")),
+        (t.startswith('"') | t.startswith("'"), F.translate(t, "()", "")), otherwise=t))
+    numbered = F.transform(split_lines(F.array_join(tokens, "")), lambda l, i: F.concat((i + 1).cast("string"), F.lit(NUMBER_END), l))
+    parts = F.transform(F.regexp_extract_all(F.array_join(numbered, "\n"), F.lit(NESTED), F.lit(0)), lambda t: F.when(
+        t.startswith("(") & (F.length(t) > 1), F.regexp_replace(t, r"\n\d+" + NUMBER_END, " ")).otherwise(t))
+    return F.transform(F.split(F.array_join(parts, ""), "\n"), lambda l: F.struct(
+        F.substring_index(l, NUMBER_END, 1).cast("int").alias("line"), F.substring_index(l, NUMBER_END, -1).alias("code")))
 
 
 def _some(c: Column) -> Column:
@@ -89,17 +109,19 @@ def _per_line(pattern: str, *groups: str) -> Column:
     """array<struct<line, k, groups>> of a pattern over the file's lines."""
     rx = F.lit(pattern)
 
-    def on_line(l, i):
-        parts = [F.regexp_extract_all(l, rx, F.lit(g + 1)) for g in range(len(groups))]
-        return F.transform(parts[0], lambda v, k: F.struct(
-            (i + 1).alias("line"), k.alias("k"), l.alias("text"), *[F.get(p, k).alias(n) for p, n in zip(parts, groups)]))
+    def on_line(l):
+        parts = [F.regexp_extract_all(l["code"], rx, F.lit(g + 1)).alias(n) for g, n in enumerate(groups)]
+        return F.transform(F.arrays_zip(*parts), lambda m, k: F.struct(
+            l["line"].alias("line"), k.alias("k"), l["code"].alias("code"), *[m[n].alias(n) for n in groups]))
 
-    return F.flatten(F.transform("lines", on_line))
+    return F.flatten(F.transform("logical", on_line))
 
 
 def call_facts(files: DataFrame) -> DataFrame:
     """One row per Python file with arrays: imports, constants, byte lengths, uses, calls."""
-    f = files.where(extension(F.col("path")).isin(".py", ".pyi")).select("path", split_lines(F.col("text")).alias("lines"))
+    f = files.where(extension(F.col("path")).isin(".py", ".pyi"))
+    # A one-element explode is a fence: the lines are cut once, not in every expression.
+    f = f.select("path", F.explode(F.array(F.struct(split_lines(F.col("text")).alias("lines"), logical_lines(F.col("text")).alias("logical")))).alias("f")).select("path", "f.*")
     plain = F.flatten(F.transform(_per_line(r"^\s*import\s+([\w., ]+)", "names"), lambda m: F.transform(
         F.split(m["names"], ","), lambda n: F.struct(
             F.coalesce(_some(F.regexp_extract(n, r"\sas\s+(\w+)", 1)), F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("alias"),
@@ -109,7 +131,7 @@ def call_facts(files: DataFrame) -> DataFrame:
             F.coalesce(_some(F.regexp_extract(n, r"\sas\s+(\w+)", 1)), F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("alias"),
             F.concat_ws(".", m["module"], F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("module")))))
     return f.select(
-        "path", F.concat(plain, froms).alias("imports"),
+        "path", "lines", F.concat(plain, froms).alias("imports"),
         _per_line(r"^\s*(\w+)\s*=\s*(\d+)\s*(?:#.*)?$", "name", "value").alias("constants"),
         _per_line(r"^\s*(\w+)\s*=\s*" + RANDOM + r"\(\s*(\w+)", "name", "size").alias("buffers"),
         _per_line(METHOD_USE, "var", "method").alias("uses"),
@@ -173,17 +195,21 @@ def call_detections(files: DataFrame) -> DataFrame:
 
     # Calls leave the row one by one with the facts of their file; an outer explode keeps
     # the optimizer from evaluating the fact arrays again in a filter.
-    rows = facts.select("path", "imports", "constants", "buffers", "uses", F.explode_outer("calls").alias("r")).where(
+    aliases = F.transform("imports", lambda e: e["alias"])
+    leaves = sorted({a[0].rsplit(".", 1)[-1] for a in APIS})
+    likely = F.filter("calls", lambda r: F.substring_index(r["callee"], ".", -1).isin(*leaves) | F.array_contains(aliases, r["callee"]))
+    likely = F.transform(likely, lambda r: r.withField("text", F.get("lines", r["line"] - 1)))
+    rows = facts.select("path", "imports", "constants", "buffers", "uses", F.explode_outer(likely).alias("r")).where(
         "r IS NOT NULL").select("path", "imports", "constants", "buffers", "uses", "r.*")
     rows = rows.withColumn("canon", canonical(c("callee")))
-    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).withColumn("target", F.regexp_extract("text", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
+    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).withColumn("target", F.regexp_extract("code", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
     use = F.array_min(F.filter(F.transform("uses", lambda u: F.struct(
         F.when(u["var"] == c("target"), u["line"]).alias("line"), u["k"].alias("k"), u["method"].alias("method"))),
         lambda u: u["line"].isNotNull()))
     # A one-element explode is a fence: filters further up are not rewritten into copies
     # of the expressions below it.
     rows = rows.select("path", "constants", "buffers", F.explode_outer(F.array(F.struct(
-        "line", "k", "text", "args", "canon", "api", use["method"].alias("method")))).alias("r")).where(
+        "line", "k", "text", "code", "args", "canon", "api", use["method"].alias("method")))).alias("r")).where(
         "r.api IS NOT NULL").select("path", "constants", "buffers", "r.*")
     by = lambda i: lookup(c("api"), {a[0]: a[i] for a in APIS if a[i] is not None})
     rows = rows.withColumns({"base": by(1), "api_role": by(2), "library": by(3), "what": by(4), "where": by(5)})
@@ -221,7 +247,7 @@ def call_detections(files: DataFrame) -> DataFrame:
     derived = F.when(c("kb_default_role") != kb.UNKNOWN, c("kb_default_role"))
     role = F.when(~unset, c("api_role")).otherwise(F.coalesce(lookup(c("method"), ROLE_OF_METHOD), derived, F.lit(kb.UNKNOWN)))
     # A pyca cipher takes its mode from the sibling argument on the line.
-    sibling = F.lower(F.regexp_extract("text", r"(?i)\bmodes\.(GCM|CBC|CTR|CCM|ECB|OFB|CFB)\b", 1))
+    sibling = F.lower(F.regexp_extract("code", r"(?i)\bmodes\.(GCM|CBC|CTR|CCM|ECB|OFB|CFB)\b", 1))
     own = F.lower(F.regexp_extract("args", r"(?i)MODE_(GCM|CBC|CTR|CCM|ECB|OFB|CFB)", 1))
     cipher = c("kb_primitive").isin("block-cipher", "stream-cipher", "ae")
     return conform(d.withColumns({
