@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_stage
+
 #: Lengths whose sums are taken together, so that no window holds the whole histogram.
 SPAN = 4096
 
@@ -49,9 +51,9 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     longer, and the tokens that a limit of that length keeps of all documents.
 
     Lengths are summed in spans, and spans among each other, so a window sees one span or
-    one row per span.
+    one row per span. The exact counts are written once, since texts are read once.
     """
-    exact = lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs"))
+    exact = write_stage(lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs")), "lengths")
     exact = exact.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     later = Window.partitionBy(F.lit(0)).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     spans = exact.groupBy("span").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t")).select(
