@@ -186,30 +186,54 @@ def top_of_band(items: DataFrame, limit: int = TOP_PER_BAND) -> DataFrame:
 def enablement_waves(items: DataFrame, impacts: DataFrame) -> DataFrame:
     """Gating items by fan-out with the distinct first applications of what they unblock.
 
-    First applications are reduced to distinct (resource, application) before they meet
-    the gating items; only certificate issuers go through explicit pairs.
+    Applications are counted per library and per protocol and combined by inclusion and
+    exclusion, so no gating asset meets the applications of its resources. Certificate
+    issuers add the applications of what they issued, where these are in neither. An asset
+    does not unblock itself: an application it alone contributes is taken off again.
     """
-    gating = items.where("unblocks > 0")
     apps = impacts.where("first_application IS NOT NULL")
-    # An asset does not unblock itself: a value it alone contributes must not count.
-    def by_resource(node, who):
-        return (apps.where(who).groupBy(node, "first_application")
+
+    def held(node: str, who: str, name: str) -> DataFrame:
+        return (apps.where(who).groupBy(F.col(node).alias(name), F.col("first_application").alias("app"))
                 .agg(F.count(F.lit(1)).alias("holders"), F.min("asset_id").alias("holder")))
-    libs = by_resource("library_node", "library_node IS NOT NULL")
-    protos = by_resource("protocol_node", "waits")
-    others = (F.col("holders") > 1) | (F.col("holder") != F.col("asset_id"))
-    via_lib = (gating.where("is_provider").select("asset_id", "library_node").join(libs, "library_node")
-               .where(others).select("asset_id", "first_application"))
-    via_proto = (gating.where("is_gate").select("asset_id", "protocol_node").join(protos, "protocol_node")
-                 .where(others).select("asset_id", "first_application"))
-    via_pki = (pki_pairs(impacts).select("asset_id", "prereq_id").join(apps.select("asset_id", "first_application"), "asset_id")
-               .select(F.col("prereq_id").alias("asset_id"), "first_application"))
-    reached = via_lib.unionByName(via_proto).unionByName(via_pki).distinct().groupBy("asset_id").agg(
-        F.count(F.lit(1)).alias("applications"))
+
+    libs = write_stage(held("library_node", "library_node IS NOT NULL", "lib"), "library-applications")
+    protos = write_stage(held("protocol_node", "waits AND protocol_node IS NOT NULL", "proto"), "protocol-applications")
+    own = apps.select("asset_id", F.col("first_application").alias("own"))
+    gating = items.where("unblocks > 0")
+    g = gating.select("asset_id", F.when(F.col("is_provider"), F.col("library_node")).alias("lib"),
+                      F.when(F.col("is_gate"), F.col("protocol_node")).alias("proto")).join(own, "asset_id", "left")
+    spread = lambda name: spread_nulls(F.col("g." + name), F.col("g.asset_id"))
+    both = g.where("lib IS NOT NULL AND proto IS NOT NULL").select("lib", "proto").distinct()
+    common = (both.join(libs.select("lib", "app"), "lib").join(protos.select("proto", "app"), ["proto", "app"], "left_semi")
+              .groupBy("lib", "proto").agg(F.count(F.lit(1)).alias("n_both")))
+    issued = (pki_pairs(impacts).select("asset_id", "prereq_id").join(own, "asset_id")
+              .select(F.col("prereq_id").alias("asset_id"), F.col("own").alias("app")).distinct())
+    issued = write_stage(issued.join(g.withColumnRenamed("own", "g_own"), "asset_id"), "issuer-applications")
+    more = (issued.alias("g").join(libs.select(F.col("lib").alias("x"), F.col("app").alias("y")), (spread("lib") == F.col("x")) & (F.col("g.app") == F.col("y")), "left_anti")
+            .alias("g").join(protos.select(F.col("proto").alias("x"), F.col("app").alias("y")), (spread("proto") == F.col("x")) & (F.col("g.app") == F.col("y")), "left_anti")
+            .groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_issued")))
+    own_issued = issued.where("app = g_own").select("asset_id", F.lit(True).alias("own_issued"))
+
+    def joined(g: DataFrame, name: str, sizes: DataFrame, table: DataFrame) -> DataFrame:
+        mine = table.select(F.col(name).alias("x"), F.col("app").alias("y"), "holders", "holder")
+        out = g.alias("g").join(sizes, spread(name) == F.col("z"), "left").drop("z")
+        out = out.alias("g").join(mine, (spread(name) == F.col("x")) & (F.col("g.own") == F.col("y")), "left")
+        others = (F.col("holders") > 1) | (F.col("holder") != F.col("asset_id"))
+        return out.withColumns({"in_" + name: F.col("holders").isNotNull(), "others_" + name: F.coalesce(others, F.lit(False))}).drop("x", "y", "holders", "holder")
+
+    count = lambda table, name, n: table.groupBy(F.col(name).alias("z")).agg(F.count(F.lit(1)).alias(n))
+    g = joined(g, "lib", count(libs, "lib", "n_lib"), libs)
+    g = joined(g, "proto", count(protos, "proto", "n_proto"), protos)
+    g = (g.alias("g").join(common.select(F.col("lib").alias("x"), F.col("proto").alias("y"), "n_both"), (spread("lib") == F.col("x")) & (spread("proto") == F.col("y")), "left").drop("x", "y")
+         .join(more, "asset_id", "left").join(own_issued, "asset_id", "left"))
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0))
+    alone = F.expr("(in_lib OR in_proto) AND NOT others_lib AND NOT others_proto AND own_issued IS NULL").cast("int")
+    reached = g.select("asset_id", (zero("n_lib") + zero("n_proto") - zero("n_both") + zero("n_issued") - alone).alias("applications"))
     return gating.join(reached, "asset_id", "left").select(
         F.col("asset_id").alias("gating_asset"), F.col("asset_name").alias("gating_asset_name"),
         "phase", "decision", "strategy", "change_units", F.col("unblocks").alias("dependent_assets"),
-        F.coalesce("applications", F.lit(0)).alias("applications"), F.col("coordinated_months").alias("months"))
+        F.coalesce("applications", F.lit(0)).cast("bigint").alias("applications"), F.col("coordinated_months").alias("months"))
 
 
 def application_rollup(impacts: DataFrame, applications: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ SCORE = lambda col: o.round_tenth(f"(100.0::DOUBLE * {col} / peak)")
 
 KIND_COLUMNS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {impact.PLURAL[k]}" for k in impact.KINDS)
 PREREQ_CTE = CENTRAL_CTE + """,
-gate AS (SELECT *, lib_node IS NOT NULL AND algorithm IS NULL AND migration_decision IN ('UPGRADE', 'HARDEN') AS is_provider,
+gate AS MATERIALIZED (SELECT *, lib_node IS NOT NULL AND algorithm IS NULL AND migration_decision IN ('UPGRADE', 'HARDEN') AS is_provider,
     coalesce(protocol = 'TLS' AND protocol_version IN ('1.0', '1.1', '1.2') AND recommended_strategy = 'upgrade-protocol', false) AS is_gate,
     coalesce(protocol = 'TLS' AND protocol_version IN ('1.0', '1.1', '1.2') AND recommended_strategy <> 'upgrade-protocol', false) AS waits FROM central),
 holder AS (SELECT cert_node AS dst, first(asset_id ORDER BY asset_seq) AS holder_id FROM gate WHERE cert_node IS NOT NULL GROUP BY 1),
@@ -81,7 +81,7 @@ pairs0 AS (
   SELECT a.asset_id, b.asset_id AS prereq_id, 0 AS k FROM gate a JOIN gate b ON a.lib_node = b.lib_node AND b.is_provider
   UNION ALL SELECT a.asset_id, holder_id, 1 FROM gate a JOIN issued i ON a.cert_node = i.src JOIN holder USING (dst)
   UNION ALL SELECT a.asset_id, b.asset_id, 2 FROM gate a JOIN gate b ON a.proto_node = b.proto_node AND a.waits AND b.is_gate),
-pairs AS (SELECT asset_id, prereq_id, min(k) AS k FROM pairs0 WHERE asset_id <> prereq_id GROUP BY 1, 2)"""
+pairs AS MATERIALIZED (SELECT asset_id, prereq_id, min(k) AS k FROM pairs0 WHERE asset_id <> prereq_id GROUP BY 1, 2)"""
 IMPACT_CTE = PREREQ_CTE + f""",
 mapped AS (SELECT * FROM gate WHERE owner IS NOT NULL),
 f_par AS (SELECT DISTINCT p_file AS file, p_repository AS repo, CASE WHEN p_repository IS NULL THEN application END AS app FROM mapped),
@@ -106,7 +106,7 @@ c_months AS (SELECT asset_id, max(m) AS m FROM ar JOIN r_months USING (r) GROUP
 pre_n AS (SELECT p.asset_id, count(*) AS n, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
     max(b.migration_months) AS m FROM pairs p JOIN gate b ON p.prereq_id = b.asset_id GROUP BY 1),
 unb AS (SELECT prereq_id AS asset_id, count(*) AS n FROM pairs GROUP BY 1),
-impacts AS (SELECT g.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in impact.PLURAL.values())}, first_application,
+impacts AS MATERIALIZED (SELECT g.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in impact.PLURAL.values())}, first_application,
     coalesce(pre_n.n, 0) AS prerequisites, coalesce(n0, 0) AS provider_prerequisites, coalesce(n1, 0) AS pki_prerequisites, coalesce(n2, 0) AS protocol_prerequisites,
     coalesce(unb.n, 0) AS unblocks, greatest(migration_months, coalesce(c_months.m, 0)) + coalesce(pre_n.m, 0) AS coordinated_effort_months,
     coalesce(pre_n.m, 0) AS prerequisite_months, sibling_assets AS dependent_assets,
@@ -121,10 +121,10 @@ PHASED = """CASE WHEN recommended_strategy IN ('verify-manually', 'determine-rol
   WHEN migration_decision = 'HARDEN' THEN 3 ELSE 5 END"""
 # Four rounds of pulling blockers forward; the last one must change nothing.
 ROUNDS = "".join(f""",
-round{i} AS (SELECT i.asset_id, CASE WHEN i.n = 1 THEN 1 ELSE least(i.n, coalesce(m.n, i.n)) END AS n FROM round{i - 1} i LEFT JOIN (
+round{i} AS MATERIALIZED (SELECT i.asset_id, CASE WHEN i.n = 1 THEN 1 ELSE least(i.n, coalesce(m.n, i.n)) END AS n FROM round{i - 1} i LEFT JOIN (
   SELECT prereq_id, min(d.n) AS n FROM pairs JOIN round{i - 1} d USING (asset_id) WHERE d.n > 1 GROUP BY 1) m ON i.asset_id = m.prereq_id)""" for i in range(1, 5))
 ITEMS_CTE = IMPACT_CTE + f""",
-placed AS (SELECT *, {PHASED} AS n0_phase FROM impacts WHERE migration_decision <> 'RETAIN'),
+placed AS MATERIALIZED (SELECT *, {PHASED} AS n0_phase FROM impacts WHERE migration_decision <> 'RETAIN'),
 round0 AS (SELECT asset_id, n0_phase AS n FROM placed){ROUNDS},
 items AS (SELECT p.*, 'PH' || n0_phase AS placed_phase, 'PH' || r.n AS phase FROM placed p JOIN round4 r USING (asset_id))"""
 
