@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import guard_keys, lookup, redact
+from ..knowledge import policy as pol
 from ..operators import cbom, governance, inventory, risk, roadmap, rollups
 from ..sources import driver_tables as dt
 from ..sources import export
@@ -89,7 +90,23 @@ def highest_impact_assets(spark, sf) -> DataFrame:
     return rollups.highest_impact(scan(spark, sf).items)
 
 
-@register("report_sections")
+SECTIONS = {"classical_risk": "classical-axis", "quantum_exposure": "quantum-axis", "migration_decision": "decisions", "mosca_urgency": "urgency", "confidence": "confidence"}
+SECTION_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS section, {d} AS key, count(*) AS n, {o.cmap(d, {v: i for i, v in enumerate(rollups.ORDERS[d])}, '1000')} AS k FROM impacts WHERE {d} IS NOT NULL GROUP BY ALL"
+    for d, name in SECTIONS.items())
+GLANCE = (("need_change", "migration_decision <> 'RETAIN'"), ("need_no_change", "migration_decision = 'RETAIN'"), ("quantum_vulnerable", "quantum_vulnerable"),
+          ("classically_broken_today", "quantum_class = 'classically_broken'"), ("business_context_defaulted", "context_source = 'default'"))
+GLANCE_SQL = " UNION ALL ".join(f"SELECT {i + 1} AS ord, '{name}' AS key, count(*) FILTER (WHERE {cond}) AS n FROM impacts" for i, (name, cond) in enumerate(GLANCE))
+
+
+@register("report_sections", o.query(ITEMS_CTE, f"""
+, t AS ({SECTION_SQL}), glance AS ({GLANCE_SQL}), tot AS (SELECT count(*) AS total FROM impacts),
+ph AS (SELECT phase, count(*) AS n FROM items GROUP BY 1),
+top AS (SELECT *, row_number() OVER (ORDER BY unblocks DESC, asset_id) AS k FROM items WHERE unblocks > 0)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY k, n DESC, key) AS INT) AS ord, key, n, {PCT('n', 'total')} AS pct FROM t CROSS JOIN tot
+UNION ALL SELECT 'at-a-glance', CAST(ord AS INT), key, n, {PCT('n', 'total')} FROM glance CROSS JOIN tot
+UNION ALL SELECT 'roadmap', CAST(substr(phase, 3) AS INT), phase || ' ' || {o.cmap('phase', {p[0]: p[1] for p in pol.PHASES}, "''")}, n, NULL FROM ph
+UNION ALL SELECT 'gating-assets', CAST(k AS INT), asset_name || ' [' || recommended_strategy || ']', unblocks, NULL FROM top WHERE k <= 5"""))
 def report_sections(spark, sf) -> DataFrame:
     s = scan(spark, sf)
     return rollups.report(s.decided, roadmap.phase_rollup(s.items), roadmap.enablement_waves(s.items, s.impacts))
