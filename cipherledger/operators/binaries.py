@@ -42,6 +42,13 @@ def _common(kind: str, language: Column) -> dict:
             "method": F.lit(kind), "api_call": F.lit(kind), "language": F.lower(language), "sub": F.lit(0)}
 
 
+def binary_format(path: Column, content: Column) -> Column:
+    """Format by the leading bytes; null for anything that is no executable or library."""
+    head = F.hex(F.substring(content, 1, 4))
+    return (F.when(head == "7F454C46", "elf").when(head.startswith("4D5A"), "pe")
+            .when(head.isin("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE") | ((head == "CAFEBABE") & ~path.endswith(".class")), "macho"))
+
+
 def resolve_soname(soname: Column) -> Column:
     """Stem as a package, whole name as a package, then a known soname stem inside it."""
     stem = F.substring_index(F.element_at(F.split(soname, "/"), -1), ".", 1)

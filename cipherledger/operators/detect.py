@@ -11,12 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binaries import linkage_detections, string_detections, symbol_detections
+from .binaries import binary_format, linkage_detections, openssl_versions, string_detections, symbol_detections
 from .callsites import call_detections
 from .certificates import certificate_detections
 from .config import config_detections
 from .containers import container_detections
-from .keymaterial import key_detections
+from .keymaterial import PARSED, container_detections as key_container_detections, key_detections
 from .lexical import lexical_detections
 from .manifests import dependency_detections
 
@@ -27,13 +27,23 @@ TEXT_DETECTORS = (call_detections, config_detections, dependency_detections,
 def detect(routed: DataFrame, as_of: Column, certificates: DataFrame | None = None,
            linkage: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """``routed`` has path, kind and text (and content for binaries). Parsed certificates,
-    linkage and symbol tables come from ordinary tools."""
-    text = routed.where("kind = 'text' AND text IS NOT NULL").select("path", "text")
-    keys = routed.where("kind = 'certificate' AND text IS NOT NULL").select("path", "text")
-    parts = [key_detections(keys), *[d(text) for d in TEXT_DETECTORS]]
+    linkage and symbol tables come from ordinary tools.
+
+    Certificate-kind files that hold neither a certificate nor a private key, such as public
+    keys and requests, go to the text detectors. Binaries are told apart by their leading
+    bytes, and unknown formats left out; a linked library without a version takes the one
+    its binary names."""
+    parsed = (F.col("kind") == "certificate") & F.col("text").rlike(PARSED)
+    text = routed.where(F.col("kind").isin("text", "certificate") & F.col("text").isNotNull() & ~parsed).select("path", "text")
+    keys = routed.where(parsed).select("path", "text")
+    parts = [key_detections(keys), key_container_detections(routed), *[d(text) for d in TEXT_DETECTORS]]
     if "content" in routed.columns:
-        parts.append(string_detections(routed.where("kind = 'binary'").select(
-            F.col("path").alias("file"), F.lit("elf").alias("fmt"), "content")))
+        binaries = routed.where("kind = 'binary'").select(
+            F.col("path").alias("file"), binary_format(F.col("path"), F.col("content")).alias("fmt"), "content").where("fmt IS NOT NULL")
+        parts.append(string_detections(binaries))
+        if linkage is not None:
+            named = openssl_versions(binaries).where("openssl_version IS NOT NULL").select("file", F.col("openssl_version").alias("named"))
+            linkage = linkage.join(named, "file", "left").withColumn("openssl_version", F.coalesce("openssl_version", "named")).drop("named")
     if certificates is not None:
         parts.append(certificate_detections(certificates, as_of))
     if linkage is not None:

@@ -30,6 +30,20 @@ def key_containers(files: DataFrame) -> DataFrame:
     return files.where(extension(F.col("path")).isin(".p12", ".pfx")).select("path", F.lit("pkcs12").alias("class"))
 
 
+#: A certificate or a private key in text form; other blocks, such as requests, are text.
+PARSED = r"-----BEGIN (X509 |TRUSTED )?CERTIFICATE-----|-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+
+
+def container_detections(files: DataFrame) -> DataFrame:
+    """One detection per password-protected container, found by its name alone."""
+    return conform(key_containers(files).select(
+        F.col("path").alias("file"), F.lit(DETECTOR_RANK["certificate-x509"]).alias("det_rank"),
+        F.lit(2 * 10**6).alias("ord"), F.lit(0).alias("sub"), F.lit("certificate-x509").alias("detector"),
+        F.lit("container-scan").alias("method"), F.lit("medium").alias("confidence"), F.lit("pkcs12").alias("language"),
+        F.lit("password-protected key container").alias("matched"), F.lit("content is not opened").alias("reasoning"),
+        F.lit("key-container").alias("api_call"), F.lit(True).alias("key_material_in_repo")))
+
+
 def key_detections(files: DataFrame) -> DataFrame:
     """One detection per file that holds a private key."""
     keys = pem_blocks(files).where("class = 'private-key'").select("path").distinct()
