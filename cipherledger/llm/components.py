@@ -21,18 +21,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the table repeats: every step moves
     links to smaller nodes and keeps the components, so it ends with one star each. Steps
     read and write stage tables, which survive lost executors. Minima are aggregated before
-    they are shuffled and joined back on a unique side, so a node with most of the links is
-    split like any skewed join key.
+    they are shuffled, and written before they are joined back: both sides of that join are
+    then plain exchanges, which adaptive execution splits where a node has most of the links.
     """
     state = write_stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = _signature(state)
     while seen[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = write_stage(both.join(_stars(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = _stars(large)
+        nearest = write_stage(_stars(both), "nearest")
+        large = write_stage(both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        least = write_stage(_stars(large), "least")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = write_stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        drop_stage(state, large)
+        drop_stage(state, large, nearest, least)
         state, before = small, seen
         seen = _signature(state)
         if seen == before:
