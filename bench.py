@@ -17,7 +17,8 @@ from cipherledger.session import local_session
 STAGES = ("detections", "assets", "central", "decided", "impacts", "items")
 HEADLINE = ("top_assets_per_application", "scenario_sweep", "policy_comparison", "decision_summary",
             "dashboard_tally", "risk_crosstab", "inventory_filtered_page", "roadmap_phase_rollup",
-            "application_rollup", "bom_components", "config_cipher_suites", "lexical_tokens")
+            "application_rollup", "bom_components", "config_cipher_suites", "lexical_tokens",
+            "fan_out_detections", "enablement_waves")
 
 
 def main() -> None:
