@@ -283,19 +283,33 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([*[f for f in schema if f.name not in names], *fields])
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: bool = True) -> DataFrame:
-    """Add the ids of each whole text, without begin or end ids."""
-    proto, out = model_bytes(model_path), _with(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
+def _coded(df: DataFrame, model_path: str, text: str, ids: str, decoded: str | None, check: bool) -> DataFrame:
+    proto = model_bytes(model_path)
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else [])
+    out = _with(df.schema, *new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(proto)
         for b in sliced(batches, text):
             flat, offsets = vocabulary.encode_batch([t or "" for t in b.column(text).to_pylist()], check)
-            yield _replace(b, out, {ids: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))})
+            columns = {ids: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))}
+            if decoded:
+                columns[decoded] = pa.array([vocabulary.decode(flat[s:e]) for s, e in zip(offsets[:-1], offsets[1:])], pa.string())
+            yield _replace(b, out, columns)
 
     return df.mapInArrow(run, out)
 
 
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", check: bool = True) -> DataFrame:
+    """Add the ids of each whole text, without begin or end ids."""
+    return _coded(df, model_path, text, ids, None, check)
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", check: bool = True) -> DataFrame:
+    """Add the ids and the text decoded from them, in one pass through one Python worker."""
+    return _coded(df, model_path, text, ids, decoded, check)
+
+
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of each list of ids; null lists give empty texts."""
     proto, out = model_bytes(model_path), _with(df.schema, T.StructField(text, T.StringType(), False))
@@ -326,7 +340,7 @@ def _replace(batch: pa.RecordBatch, schema: T.StructType, new: dict[str, pa.Arra
 
 def digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Ids and decoded text of each document, as counts and digests."""
-    coded = decode(encode(docs.select(key, text), model_path, text).select(key, "ids"), model_path)
+    coded = encode_and_decode(docs.select(key, text), model_path, text)
     return coded.select(key, F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
