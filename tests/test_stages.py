@@ -190,7 +190,8 @@ def test_redaction(spark):
 def test_routing(spark):
     f = spark.createDataFrame([("a/x.py", 3, b"abc"), ("a/x.png", 3, b"abc"), ("a/go.mod", 3, b"abc"), ("a/y.txt", 3, b"a\x00b"),
                                ("a/big.py", 3 * 2**20, b"abc")], "path string, length bigint, content binary")
-    got = {r["path"]: (r["kind"], r["skip_reason"]) for r in route(f).collect()}
+    assert {r["path"]: r["kind"] for r in route(f).collect()}["a/big.py"] == "text"  # no ceiling unless one is given
+    got = {r["path"]: (r["kind"], r["skip_reason"]) for r in route(f, 2 * 2**20).collect()}
     assert got == {"a/x.py": ("text", None), "a/x.png": ("skipped", "ignored-extension"), "a/go.mod": ("skipped", "unknown-extension"),
                    "a/y.txt": ("skipped", "binary-content"), "a/big.py": ("skipped", "too-large")}
     s = spark.createDataFrame([("x/node_modules/a.js",), ("x/.git/a",), ("x/a.js",)], "p string").select(skipped_folder(F.col("p")), rekey(F.lit("base"), F.col("p")))
