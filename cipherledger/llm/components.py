@@ -43,7 +43,6 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def _signature(state: DataFrame) -> tuple:
-    """Number of links and an order-free digest of them: one row."""
-    h = F.xxhash64("u", "v")
-    row = state.agg(F.count(F.lit(1)), F.sum(F.shiftrightunsigned(h, 24)), F.sum(h.bitwiseAND(0xFFFFFF))).first()
-    return tuple(row)
+    """Number of links and an order-free digest of them: one row. The bits of two hashes are
+    combined by exclusive or, which no number of links overflows; links are distinct."""
+    return tuple(state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
