@@ -206,9 +206,19 @@ def binary_strings(spark, sf) -> DataFrame:
     return binaries.string_detections(rows).select("file", "protocol", "protocol_version", "confidence")
 
 
+def binary_files(spark, sf) -> DataFrame:
+    """String bodies as routed binary files, behind the leading bytes of their format."""
+    rows = dt.table(spark, sf, "part").selectExpr(*dt.columns(tx.STRING_SQL))
+    return rows.select(F.col("file").alias("path"), F.lit("binary").alias("kind"),
+                       F.concat(F.unhex(F.lit("7F454C4600")), F.encode("body", "ISO-8859-1")).alias("content"))
+
+
 @register("fan_out_detections")
 def fan_out_detections(spark, sf) -> DataFrame:
-    """Every detector over the whole corpus, counted by detector, method and confidence."""
+    """Every detector over the whole corpus, the derived binaries and the linkage and symbol
+    tables, counted by detector, method and confidence."""
     as_of = F.lit(dt.AS_OF).cast("timestamp")
-    d = detect.detect(fs.routed_text(files(spark, sf)), as_of, dt.certificates(spark, sf))
+    part = dt.table(spark, sf, "part")
+    routed = fs.routed_text(files(spark, sf)).unionByName(binary_files(spark, sf), allowMissingColumns=True)
+    d = detect.detect(routed, as_of, dt.certificates(spark, sf), part.selectExpr(*dt.columns(tx.LINKAGE_SQL)), part.selectExpr(*dt.columns(tx.SYMBOL_SQL)))
     return d.groupBy("detector", "method", "confidence").agg(F.count(F.lit(1)).alias("n"))
