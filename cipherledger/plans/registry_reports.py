@@ -199,6 +199,13 @@ def bom_properties(spark, sf) -> DataFrame:
     return c.select("bom_ref", F.explode("properties").alias("p")).select("bom_ref", "p.*").where(F.col("name").isin(*names))
 
 
+@register("bom_properties_all")
+def bom_properties_all(spark, sf) -> DataFrame:
+    """Every property of every asset component."""
+    c = cbom.asset_components(scan(spark, sf).decided)
+    return c.select("bom_ref", F.explode("properties").alias("p")).select("bom_ref", "p.*")
+
+
 @register("bom_occurrences", o.query(o.ASSETS_CTE, """
 , e AS (SELECT a.asset_id, CASE WHEN k.file <> '' AND k.line <> 0 THEN k.file || ':' || k.line WHEN k.file <> '' THEN k.file ELSE coalesce(k.container, 'n/a') END AS location,
   a.p_file, a.p_line, k.matched, concat_ws(' | ', 'detector=' || k.detector, 'method=' || k.method, 'evidence=' || k.evidence_type, 'confidence=' || k.confidence, 'matched=' || k.matched) AS ctx

@@ -85,6 +85,13 @@ def lexical_parameters(spark, sf) -> DataFrame:
     return lexical.lexical_detections(f).where("algorithm = 'sha-256' AND line = 4").select("file", "key_size")
 
 
+@register("lexical_parameters_all")
+def lexical_parameters_all(spark, sf) -> DataFrame:
+    """Key size, curve, mode and padding of every lexical detection in every text file."""
+    f = fs.routed_text(files(spark, sf)).where("kind = 'text'")
+    return lexical.lexical_detections(f).select("file", "line", "algorithm", "matched", "key_size", "curve", "mode", "padding")
+
+
 @register("config_protocols", Q(f"""
 , c AS (SELECT path, unnest(regexp_extract_all(regexp_extract(text, '{config.DIRECTIVES[0][0]}', 1), '{config.TLS_TOKEN}')) AS t FROM files WHERE path LIKE '%.conf')
 SELECT path AS file, 1 AS line, {o.cmap('lower(t)', {k: v[0] for k, v in config.VERSIONS.items()})} AS protocol, {o.cmap('lower(t)', {k: v[1] for k, v in config.VERSIONS.items()})} AS protocol_version, t AS matched FROM c"""))
