@@ -59,14 +59,20 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     real sizes. ``drop_stage`` removes it; what is left goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{stage_directory(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    path = stage_folder(spark, name)
     df.write.parquet(path)
-    _STAGES[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new path for files that tasks write themselves; it goes when the driver ends."""
+    path = f"{stage_directory(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    _STAGES[path] = spark
+    return path
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Remove stage tables that nothing reads any more."""
     for path in [getattr(t, "stage_path", None) for t in tables]:
