@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, pieces, quality, sharding, simhash, token_counts, urls, vectors, warc
+from ..session import stage_folder
+from . import (mixing, order_minhash, periodic_runs, pieces, quality, sharding, simhash, spelling_variants, token_counts, token_files,
+               urls, vectors, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +19,7 @@ ORACLES: dict[str, str] = {}
 #: Vocabulary files are read where they are installed; a path of one's own works as well.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -94,6 +97,28 @@ def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_token_files")
+def token_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the written files."""
+    folder = stage_folder(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), folder, WORDS, end=2)
+    return token_files.read_files(spark, folder)
+
+
+@query("op12_periodic_runs")
+def runs_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which are made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))
+    return periodic_runs.digests(periodic_runs.collapse(docs))
+
+
+@query("op13_spelling_variants")
+def variants_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of all documents."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
