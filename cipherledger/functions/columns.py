@@ -26,6 +26,11 @@ def lookup(col: Column, mapping: dict, otherwise=None) -> Column:
     return F.coalesce(found, otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often a lambda in it reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compact(*pairs) -> Column:
     """Array of the labels whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(c, v if isinstance(v, Column) else F.lit(v))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import case
+from ..functions.columns import let, lookup
 from ..functions.packages import capability, resolve_package, with_library
 from ..knowledge import algorithms as kb
 from ..knowledge import libraries as lib
 from ..sources.schemas import DETECTOR_RANK, conform
+from .facts import exploded, fact, together
 
 # Fixed values, in order: symbol pattern -> algorithm.
 SYMBOLS = [
@@ -86,20 +87,34 @@ def symbol_detections(symbols: DataFrame) -> DataFrame:
         "reasoning": F.lit("symbol names its parameters; use is not shown")}))
 
 
-def string_detections(binaries: DataFrame) -> DataFrame:
-    """Rows (file, fmt, content): protocol versions named in marker strings."""
-    text = F.decode("content", "ISO-8859-1")
-    strings = F.filter(F.regexp_extract_all(text, F.lit(PRINTABLE), F.lit(0)), lambda s: s.rlike(MARKERS))
-    blob = F.array_join(strings, "\n")
-    found = F.array_compact(F.array(*[F.when(F.col("blob").rlike(rx), F.struct(
-        F.lit(i).alias("n"), F.lit(p).alias("p"), F.lit(v).alias("v"))) for i, (rx, p, v) in enumerate(TLS_STRINGS)]))
-    d = binaries.select("file", "fmt", blob.alias("blob")).select("file", "fmt", F.explode(found).alias("h"))
+def binary_facts(fmt: Column, content: Column) -> Column:
+    """Protocol versions named in marker strings, and the library version a binary names."""
+    def of_text(text):
+        strings = F.filter(F.regexp_extract_all(text, F.lit(PRINTABLE), F.lit(0)), lambda s: s.rlike(MARKERS))
+
+        def of_blob(blob):
+            return F.array_compact(F.array(*[F.when(blob.rlike(rx), fact("binary-string", rule=i, c=fmt)) for i, (rx, _, _) in enumerate(TLS_STRINGS)]))
+
+        version = F.regexp_extract(text, OPENSSL_VERSION, 1)
+        return together(let(F.array_join(strings, "\n"), of_blob), F.when(version != "", F.array(fact("openssl-version", a=version, c=fmt))))
+
+    return F.when(fmt.isNotNull(), let(F.decode(content, "ISO-8859-1"), of_text))
+
+
+def refine(facts: DataFrame) -> DataFrame:
+    d = facts.where("fact = 'binary-string'").withColumns({
+        "p": lookup(F.col("rule"), {i: p for i, (_, p, _) in enumerate(TLS_STRINGS)}), "v": lookup(F.col("rule"), {i: v for i, (_, _, v) in enumerate(TLS_STRINGS)})})
     return conform(d.withColumns({
-        **_common("strings", F.col("fmt")), "ord": F.lit(2 * 10**6) + F.col("h.n"), "confidence": F.lit("low"),
-        "protocol": F.col("h.p"), "protocol_version": F.col("h.v"), "matched": F.concat("h.p", "h.v"),
+        **_common("strings", F.col("c")), "file": F.col("path"), "ord": F.lit(2 * 10**6) + F.col("rule"), "confidence": F.lit("low"),
+        "protocol": F.col("p"), "protocol_version": F.col("v"), "matched": F.concat("p", "v"),
         "evidence_tier": F.lit("string"), "reasoning": F.lit("string literal; support, not negotiation")}))
 
 
-def openssl_versions(binaries: DataFrame) -> DataFrame:
-    v = F.regexp_extract(F.decode("content", "ISO-8859-1"), OPENSSL_VERSION, 1)
-    return binaries.select("file", F.when(v != "", v).alias("openssl_version"))
+def string_detections(binaries: DataFrame) -> DataFrame:
+    """Rows (file, fmt, content): protocol versions named in marker strings."""
+    return refine(exploded(binaries.withColumnRenamed("file", "path"), binary_facts(F.col("fmt"), F.col("content"))))
+
+
+def openssl_versions(facts: DataFrame) -> DataFrame:
+    """(file, openssl_version) of binaries that name one."""
+    return facts.where("fact = 'openssl-version'").groupBy(F.col("path").alias("file")).agg(F.min("a").alias("openssl_version"))

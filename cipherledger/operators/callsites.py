@@ -1,21 +1,25 @@
-"""Python call sites from line-level facts: imports, constants, calls and key uses.
+"""Python call sites: calls found by bracket depth, resolved through the file's imports.
 
-All facts of a file are arrays in that file's row, so resolving names, constants and
-roles is row-local; the only rows that leave are calls that may match. Comments and
-docstrings are blanked first, and lines are joined while a parenthesis is open, under the
-number of the first. Role refinement takes the lowest line.
+A file's calls come as facts from one Arrow batch function (``functions.python_calls``), which
+sees a file at a time: each call keeps its own line, its arguments, the integers and random
+buffers they stand for, how the name it is assigned to is used, and the mode that stands next
+to it. What they mean is decided here, by columns. Role refinement takes the lowest line.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import case, extension, lookup
-from ..functions.text import split_lines
+from ..functions.python_calls import find_calls
 from ..knowledge import algorithms as kb
 from ..sources.schemas import DETECTOR_RANK, conform
 from .config import resolve_name
+from .facts import CALL, exploded, fact
 from .normalize import with_algorithm
 
 PYCA, PYC = "python-cryptography", "pycryptodome"
@@ -77,78 +81,38 @@ CURVES = {"SECP192R1": "secp192r1", "SECP224R1": "secp224r1", "SECP256R1": "secp
           "SECP256K1": "secp256k1", "SECP384R1": "secp384r1", "SECP521R1": "secp521r1",
           "BrainpoolP256R1": "brainpoolp256r1", "BrainpoolP384R1": "brainpoolp384r1"}
 MODES = ("gcm", "cbc", "ctr", "ccm", "ecb", "ofb", "cfb")
-RANDOM = r"(?:\w+\.)*(?:urandom|token_bytes|get_random_bytes)"
-CALL = r"\b((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)\s*\((?=([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*))"
-METHOD_USE = r"\b([A-Za-z_]\w*)\.(sign|verify|decrypt|encrypt|exchange|derive|encapsulate|decapsulate)\s*\("
-# Comments, strings of either length and the text between them; parts in parentheses.
-TOKEN = r"""(?s)\"{3}.*?(?:\"{3}|\z)|'{3}.*?(?:'{3}|\z)|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|#[^\n]*|[^"'#]++|["']"""
-NESTED = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)|[^()]++|[()]"
-NUMBER_END = "\ue001"
-
-
-def logical_lines(text: Column) -> Column:
-    """array<struct<line, code>>: lines without comments and docstrings, joined while a
-    parenthesis is open. Strings keep their words but lose parentheses, so that calls named
-    in them are none."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: case(
-        (t.startswith("#"), F.lit("")),
-        (t.startswith('"' * 3) | t.startswith("'" * 3), F.regexp_replace(t, r"[^\n]", "")),
-        (t.startswith('"') | t.startswith("'"), F.translate(t, "()", "")), otherwise=t))
-    numbered = F.transform(split_lines(F.array_join(tokens, "")), lambda l, i: F.concat((i + 1).cast("string"), F.lit(NUMBER_END), l))
-    parts = F.transform(F.regexp_extract_all(F.array_join(numbered, "\n"), F.lit(NESTED), F.lit(0)), lambda t: F.when(
-        t.startswith("(") & (F.length(t) > 1), F.regexp_replace(t, r"\n\d+" + NUMBER_END, " ")).otherwise(t))
-    return F.transform(F.split(F.array_join(parts, ""), "\n"), lambda l: F.struct(
-        F.substring_index(l, NUMBER_END, 1).cast("int").alias("line"), F.substring_index(l, NUMBER_END, -1).alias("code")))
+LEAVES = sorted({a[0].rsplit(".", 1)[-1] for a in APIS})
+#: Arguments that some api asks for, and the second one, which names a mode.
+ARGUMENTS = sorted({a[5] for a in APIS if a[5]} | {"1"})
 
 
-def _some(c: Column) -> Column:
-    return F.when(c != "", c)
+@cache
+def _call_function():
+    """Calls of a batch of texts; made once there is a session."""
+    kind = pa.list_(pa.struct([
+        ("line", pa.int32()), ("k", pa.int32()), ("callee", pa.string()), ("canon", pa.string()), ("args", pa.map_(pa.string(), pa.string())),
+        ("integers", pa.map_(pa.string(), pa.int64())), ("sizes", pa.map_(pa.string(), pa.int64())), ("method", pa.string()), ("sibling", pa.string()), ("text", pa.string())]))
+    leaves, keywords, methods, modes = set(LEAVES), set(ARGUMENTS), set(ROLE_OF_METHOD), set(MODES)
 
+    def calls(texts: pa.Array) -> pa.Array:
+        rows = [find_calls(t.as_py(), leaves, keywords, methods, modes) for t in texts]
+        maps = ("args", "integers", "sizes")
+        return pa.array([[r | {m: list(r[m].items()) for m in maps} for r in row] for row in rows], kind)
 
-def _per_line(pattern: str, *groups: str) -> Column:
-    """array<struct<line, k, groups>> of a pattern over the file's lines."""
-    rx = F.lit(pattern)
+    return F.arrow_udf(calls, f"array<{CALL}>")
 
-    def on_line(l):
-        parts = [F.regexp_extract_all(l["code"], rx, F.lit(g + 1)).alias(n) for g, n in enumerate(groups)]
-        return F.transform(F.arrays_zip(*parts), lambda m, k: F.struct(
-            l["line"].alias("line"), k.alias("k"), l["code"].alias("code"), *[m[n].alias(n) for n in groups]))
 
-    return F.flatten(F.transform("logical", on_line))
+def python_calls(text: Column) -> Column:
+    """Calls of Python files that may matter; other files are not sent to Python."""
+    return _call_function()(F.when(extension(F.col("path")).isin(".py", ".pyi"), text))
 
 
-def call_facts(files: DataFrame) -> DataFrame:
-    """One row per Python file with arrays: imports, constants, byte lengths, uses, calls."""
-    f = files.where(extension(F.col("path")).isin(".py", ".pyi"))
-    # A one-element explode is a fence: the lines are cut once, not in every expression.
-    f = f.select("path", F.explode(F.array(F.struct(split_lines(F.col("text")).alias("lines"), logical_lines(F.col("text")).alias("logical")))).alias("f")).select("path", "f.*")
-    plain = F.flatten(F.transform(_per_line(r"^\s*import\s+([\w., ]+)", "names"), lambda m: F.transform(
-        F.split(m["names"], ","), lambda n: F.struct(
-            F.coalesce(_some(F.regexp_extract(n, r"\sas\s+(\w+)", 1)), F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("alias"),
-            F.regexp_extract(n, r"^\s*([\w.]+)", 1).alias("module")))))
-    froms = F.flatten(F.transform(_per_line(r"^\s*from\s+([\w.]+)\s+import\s+([^#]+)", "module", "names"), lambda m: F.transform(
-        F.split(F.regexp_replace(m["names"], r"[()]", ""), ","), lambda n: F.struct(
-            F.coalesce(_some(F.regexp_extract(n, r"\sas\s+(\w+)", 1)), F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("alias"),
-            F.concat_ws(".", m["module"], F.regexp_extract(n, r"^\s*(\w+)", 1)).alias("module")))))
-    return f.select(
-        "path", "lines", F.concat(plain, froms).alias("imports"),
-        _per_line(r"^\s*(\w+)\s*=\s*(\d+)\s*(?:#.*)?$", "name", "value").alias("constants"),
-        _per_line(r"^\s*(\w+)\s*=\s*" + RANDOM + r"\(\s*(\w+)", "name", "size").alias("buffers"),
-        _per_line(METHOD_USE, "var", "method").alias("uses"),
-        _per_line(CALL, "callee", "args").alias("calls"))
+def call_facts(calls: Column) -> Column:
+    return F.transform(calls, lambda c: fact("call", line=c["line"], pos=c["k"], source=c["text"], call=c))
 
 
-def _last(array: Column, name: Column, field: str) -> Column:
-    """Value of the last entry of that name; a later binding replaces an earlier one."""
-    return F.try_element_at(F.filter(array, lambda e: e["name"] == name), F.lit(-1))[field]
-
-
-def canonical(callee: Column) -> Column:
-    """Callee with its head rewritten through the file's imports."""
-    head = F.substring_index(callee, ".", 1)
-    rest = F.when(F.contains(callee, F.lit(".")), F.regexp_replace(callee, r"^[^.]*\.", ""))
-    module = F.try_element_at(F.filter("imports", lambda e: e["alias"] == head), F.lit(-1))["module"]
-    return F.concat_ws(".", F.coalesce(module, head), rest)
+def _some(c: Column) -> Column:
+    return F.when(c != "", c)
 
 
 def matched_api(canon: Column, dotted: Column) -> Column:
@@ -165,60 +129,27 @@ def matched_api(canon: Column, dotted: Column) -> Column:
     return F.coalesce(index[canon], index[dotted], longest)
 
 
-def integer_argument(value: Column, constants: Column) -> Column:
-    """Literal, named constant, product or left shift of the two."""
-    def atom(t):
-        t = F.trim(t)
-        return F.coalesce(F.when(t.rlike(r"^\d+$"), t.cast("bigint")), _last(constants, t, "value").cast("bigint"))
-
-    shift, product = F.split(value, "<<"), F.split(value, r"\*")
-    side = lambda arr, i: atom(F.try_element_at(arr, F.lit(i)))
-    return case((F.size(shift) == 2, side(shift, 1) * F.pow(F.lit(2.0), side(shift, 2).cast("double")).cast("bigint")),
-                (F.size(product) == 2, side(product, 1) * side(product, 2)), otherwise=atom(value))
-
-
-def argument(args: Column, where: Column) -> Column:
-    """Keyword argument by name, or the first positional one."""
-    first = F.regexp_extract(args, r"^\s*((?:[^,()\[\]]|\([^()]*\)|\[[^\]]*\])*)", 1)
-    named = F.lit(None).cast("string")
-    for key in sorted({a[5] for a in APIS if a[5] and a[5] != "0"}):
-        v = F.regexp_extract(args, r"\b" + key + r"\s*=\s*((?:[^,()\[\]]|\([^()]*\)|\[[^\]]*\])+)", 1)
-        named = F.when(where == key, v).otherwise(named)
-    positional = F.when(~first.rlike(r"^\s*\w+\s*=[^=]"), F.trim(first))
-    return F.when(where == "0", _some(positional)).otherwise(_some(F.trim(named)))
-
-
 def call_detections(files: DataFrame) -> DataFrame:
     """High-confidence detections of resolved calls to known cryptographic APIs."""
-    facts = call_facts(files)
-    c = F.col
+    called = files.select("path", python_calls(F.col("text")).alias("calls"))
+    return refine(exploded(called, call_facts(F.col("calls"))))
 
-    # Calls leave the row one by one with the facts of their file; an outer explode keeps
-    # the optimizer from evaluating the fact arrays again in a filter.
-    aliases = F.transform("imports", lambda e: e["alias"])
-    leaves = sorted({a[0].rsplit(".", 1)[-1] for a in APIS})
-    likely = F.filter("calls", lambda r: F.substring_index(r["callee"], ".", -1).isin(*leaves) | F.array_contains(aliases, r["callee"]))
-    likely = F.transform(likely, lambda r: r.withField("text", F.get("lines", r["line"] - 1)))
-    rows = facts.select("path", "imports", "constants", "buffers", "uses", F.explode_outer(likely).alias("r")).where(
-        "r IS NOT NULL").select("path", "imports", "constants", "buffers", "uses", "r.*")
-    rows = rows.withColumn("canon", canonical(c("callee")))
-    rows = rows.withColumn("api", matched_api(c("canon"), c("callee"))).withColumn("target", F.regexp_extract("code", r"^\s*(\w+)\s*(?::[^=]+)?=(?!=)", 1))
-    use = F.array_min(F.filter(F.transform("uses", lambda u: F.struct(
-        F.when(u["var"] == c("target"), u["line"]).alias("line"), u["k"].alias("k"), u["method"].alias("method"))),
-        lambda u: u["line"].isNotNull()))
+
+def refine(facts: DataFrame) -> DataFrame:
+    c = F.col
+    rows = facts.where("fact = 'call'").select("path", "call.*")
     # A one-element explode is a fence: filters further up are not rewritten into copies
     # of the expressions below it.
-    rows = rows.select("path", "constants", "buffers", F.explode_outer(F.array(F.struct(
-        "line", "k", "text", "code", "args", "canon", "api", use["method"].alias("method")))).alias("r")).where(
-        "r.api IS NOT NULL").select("path", "constants", "buffers", "r.*")
-    by = lambda i: lookup(c("api"), {a[0]: a[i] for a in APIS if a[i] is not None})
+    rows = rows.select("path", F.explode_outer(F.array(F.struct(*[c(n) for n in rows.columns if n != "path"], matched_api(c("canon"), c("callee")).alias("api")))).alias("r")).where(
+        "r.api IS NOT NULL").select("path", "r.*")
+    by = lambda i: lookup(c("api"), {a[0]: a[i] for a in APIS if a[i] is not None})
     rows = rows.withColumns({"base": by(1), "api_role": by(2), "library": by(3), "what": by(4), "where": by(5)})
-    rows = rows.withColumn("arg", argument(c("args"), c("where")))
+    at = lambda m: F.try_element_at(c(m), c("where"))
+    rows = rows.withColumns({"arg": at("args"), "integer": at("integers"), "size": at("sizes")})
     arg, what = c("arg"), c("what")
-    inline = _some(F.regexp_extract(arg, r"^" + RANDOM + r"\(\s*([^,)]+)", 1))
-    nbytes = F.when(what == "key", F.coalesce(
-        integer_argument(_last(c("buffers"), arg, "size"), c("constants")), integer_argument(inline, c("constants"))))
-    leaf = F.regexp_replace(F.regexp_replace(arg, r"['\"]", ""), r"^.*\.|\(.*$", "")
+    nbytes = F.when(what == "key", c("size"))
+    leaf = F.regexp_replace(F.regexp_replace(arg, r"['\"]", ""), r"(?s)\(.*$", "")
+    leaf = F.element_at(F.split(leaf, r"\."), -1)
     text_value = _some(F.regexp_extract(arg, r"^['\"]([^'\"]*)['\"]$", 1))
     tokens = F.regexp_extract_all(arg, F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1))
     jwt_ids = F.array_compact(F.transform(tokens, lambda t: lookup(t, JWT)))
@@ -240,20 +171,20 @@ def call_detections(files: DataFrame) -> DataFrame:
         "algorithm": algorithm,
         "protocol": F.when(is_ssl, F.coalesce(F.when(what == "tls", const_p), F.lit("TLS"))),
         "protocol_version": F.when(is_ssl, F.coalesce(F.when((what == "tls") & const_p.isNotNull(), const_v), F.lit("negotiated"))),
-        "key_size": case((what == "size", integer_argument(arg, c("constants"))), (what == "key", nbytes * 8)).cast("int"),
+        "key_size": case((what == "size", c("integer")), (what == "key", nbytes * 8)).try_cast("int"),
         "curve": F.when(what == "curve", F.coalesce(lookup(leaf, CURVES), F.lower(leaf)))})
     d = with_algorithm(rows).where("algorithm IS NOT NULL OR protocol IS NOT NULL")
     unset = c("api_role").isNull() | (c("api_role") == kb.UNKNOWN)
     derived = F.when(c("kb_default_role") != kb.UNKNOWN, c("kb_default_role"))
     role = F.when(~unset, c("api_role")).otherwise(F.coalesce(lookup(c("method"), ROLE_OF_METHOD), derived, F.lit(kb.UNKNOWN)))
-    # A pyca cipher takes its mode from the sibling argument on the line.
-    sibling = F.lower(F.regexp_extract("code", r"(?i)\bmodes\.(GCM|CBC|CTR|CCM|ECB|OFB|CFB)\b", 1))
-    own = F.lower(F.regexp_extract("args", r"(?i)MODE_(GCM|CBC|CTR|CCM|ECB|OFB|CFB)", 1))
+    # One api names its mode in the second argument; any other cipher takes the mode of a
+    # sibling argument.
+    named = F.lower(F.element_at(F.split(F.try_element_at(c("args"), F.lit("1")), r"\."), -1))
+    own = F.when(c("api") == "Cipher.AES.new", case(*[(F.contains(named, F.lit(m)), m) for m in MODES]))
     cipher = c("kb_primitive").isin("block-cipher", "stream-cipher", "ae")
+    refined = lookup(c("method"), ROLE_OF_METHOD).isNotNull()
     return conform(d.withColumns({
         "file": c("path"), "det_rank": F.lit(DETECTOR_RANK["python-ast"]), "sub": F.lit(0),
-        "ord": c("line").cast("bigint") * 1000 + c("k"), "detector": F.lit("python-ast"), "method": F.lit("ast-call"),
-        "confidence": F.lit("high"), "role": role, "mode": F.when(cipher, F.coalesce(_some(own), _some(sibling))),
-        "language": F.lit("python"), "snippet": c("text"), "matched": c("canon"), "api_call": c("canon"),
-        "reasoning": F.when(unset & lookup(c("method"), ROLE_OF_METHOD).isNotNull(), "role from use of the key object")
-        .otherwise("call resolved through imports")}))
+        "ord": c("line").cast("bigint") * 10**6 + c("k"), "detector": F.lit("python-ast"), "mode": F.when(cipher, F.coalesce(own, c("sibling"))),
+        "confidence": F.lit("high"), "role": role, "reasoning": F.when(unset & refined, "role from use of the key object").otherwise("call resolved through imports"),
+        "language": F.lit("python"), "snippet": c("text"), "matched": c("canon"), "api_call": c("canon")}).withColumn("method", F.lit("ast-call")))

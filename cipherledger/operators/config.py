@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import case, extension, lookup
-from ..functions.text import find_all, strip
+from ..functions.text import strip
 from ..knowledge import algorithms as kb
 from ..sources.schemas import DETECTOR_RANK, conform
+from .facts import fact, facts_of, found, together
 from .normalize import with_algorithm
 
 # What makes a file a configuration file.
@@ -95,15 +96,27 @@ def _base(rows: DataFrame, **cols) -> DataFrame:
     return conform(rows.withColumns({**common, **cols}))
 
 
-def protocol_rows(files: DataFrame) -> DataFrame:
+def _placed(kind: str, m: Column, **values) -> Column:
+    return fact(kind, line=m["line"], pos=m["pos"], source=m["source"], **values)
+
+
+def config_facts(text: Column) -> Column:
+    """Directives, suite strings, groups and references of a configuration file."""
+    directive = lambda i: lambda m: _placed("protocol", m, rule=i, a=m["value"])
+    directives = [found(text, rx, directive(i), value=1) for i, (rx, _, _) in enumerate(DIRECTIVES)]
+    return F.when(is_config(F.col("path")), together(
+        *directives, found(text, CIPHERS, lambda m: _placed("suite", m, a=strip(m["value"])), value=1),
+        found(text, GROUPS, lambda m: _placed("group", m, a=strip(m["value"])), value=1),
+        found(text, REFERENCES, lambda m: _placed("reference", m, a=m["ref"], b=m["whole"]), whole=0, ref=1)))
+
+
+def protocol_rows(facts: DataFrame) -> DataFrame:
     """One row per version token of each directive; an SSH or IKE directive without a
     token keeps its raw value."""
-    hits = F.concat(*[F.coalesce(F.transform(find_all(F.col("text"), rx, value=1), lambda m: F.struct(
-        F.lit(i).alias("rule"), F.lit(fam).alias("family"), F.lit(label).alias("label"),
-        m["line"].alias("line"), m["source"].alias("source"), m["pos"].alias("pos"), m["value"].alias("value"))),
-        F.array().cast("array<struct<rule:int,family:string,label:string,line:int,source:string,pos:int,value:string>>"))
-        for i, (rx, fam, label) in enumerate(DIRECTIVES)])
-    rows = files.select("path", F.explode(hits).alias("h")).select("path", "h.*")
+    rows = facts.where("fact = 'protocol'").select(
+        "path", "rule", "line", "source", "pos", F.col("a").alias("value"),
+        lookup(F.col("rule"), {i: fam for i, (_, fam, _) in enumerate(DIRECTIVES)}).alias("family"),
+        lookup(F.col("rule"), {i: label for i, (_, _, label) in enumerate(DIRECTIVES)}).alias("label"))
     tokens = F.regexp_extract_all("value", F.lit(TLS_TOKEN), F.lit(1))
     raw = F.when(F.col("family").isin("SSH", "IKE"), F.array(F.lit(None).cast("string")))
     rows = rows.withColumn("tokens", F.when(F.size(tokens) > 0, tokens).otherwise(raw))
@@ -119,10 +132,9 @@ def protocol_rows(files: DataFrame) -> DataFrame:
                  reasoning=F.lit("protocol directive"))
 
 
-def suite_rows(files: DataFrame) -> DataFrame:
+def suite_rows(facts: DataFrame) -> DataFrame:
     """Algorithms of each cipher-suite string, and its weak tokens."""
-    rows = files.select("path", F.explode(find_all(F.col("text"), CIPHERS, value=1)).alias("m")).select(
-        "path", "m.line", "m.source", "m.pos", strip(F.col("m.value")).alias("suite"))
+    rows = facts.where("fact = 'suite'").select("path", "line", "source", "pos", F.col("a").alias("suite"))
     found = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.col("suite").rlike("(?i)" + rx), F.lit(a)) for rx, a in SUITE_ALGORITHMS])))
     snippet = F.col("source")
@@ -142,10 +154,9 @@ def suite_rows(files: DataFrame) -> DataFrame:
     return a.unionByName(w)
 
 
-def group_rows(files: DataFrame) -> DataFrame:
+def group_rows(facts: DataFrame) -> DataFrame:
     """Key-exchange groups; the streamlined-prime hybrid is recorded as X25519."""
-    rows = files.select("path", F.explode(find_all(F.col("text"), GROUPS, value=1)).alias("m")).select(
-        "path", "m.line", "m.source", "m.pos", strip(F.col("m.value")).alias("value"))
+    rows = facts.where("fact = 'group'").select("path", "line", "source", "pos", F.col("a").alias("value"))
     rows = rows.select("*", F.posexplode(F.split("value", r"[:,\s]+")).alias("k", "token")).where("token <> ''")
     rows = with_algorithm(rows.withColumn("algorithm", resolve_name(F.col("token"))))
     exchange = F.coalesce(F.col("kb_primitive").isin("key-agree", "kem", "combiner"), F.lit(False))
@@ -160,10 +171,9 @@ def group_rows(files: DataFrame) -> DataFrame:
                  reasoning=F.lit("key-exchange group in configuration"))
 
 
-def reference_rows(files: DataFrame) -> DataFrame:
+def reference_rows(facts: DataFrame) -> DataFrame:
     """Certificate and private-key file references; only the path is recorded."""
-    rows = files.select("path", F.explode(find_all(F.col("text"), REFERENCES, whole=0, ref=1)).alias("m")).select(
-        "path", "m.line", "m.source", "m.pos", "m.whole", "m.ref")
+    rows = facts.where("fact = 'reference'").select("path", "line", "source", "pos", F.col("a").alias("ref"), F.col("b").alias("whole"))
     is_key = F.col("whole").rlike("(?i)key") & ~F.contains(F.lower("whole"), F.lit("keystore"))
     return _base(rows, method=F.lit("config-directive"), matched=F.col("ref"), api_call=F.lit("pki-file-reference"),
                  ord=F.lit(3 * 10**10).cast("bigint") + F.col("pos") * 1000, sub=F.lit(0),
@@ -171,6 +181,9 @@ def reference_rows(files: DataFrame) -> DataFrame:
                  reasoning=F.when(is_key, "private-key file reference").otherwise("certificate reference"))
 
 
+def refine(facts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [g(facts) for g in (protocol_rows, suite_rows, group_rows, reference_rows)])
+
+
 def config_detections(files: DataFrame) -> DataFrame:
-    f = files.where(is_config(F.col("path")))
-    return reduce(DataFrame.unionByName, [g(f) for g in (protocol_rows, suite_rows, group_rows, reference_rows)])
+    return refine(facts_of(files, config_facts))

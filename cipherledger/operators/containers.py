@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename, case, present
+from ..functions.columns import basename, case, let, present
 from ..functions.packages import capability, resolve_package, with_library
-from ..functions.text import find_all, strip
+from ..functions.text import strip
 from ..sources.schemas import DETECTOR_RANK, conform
+from .facts import fact, facts_of, found, together
 
 COMPOSE = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
 # Instruction patterns.
@@ -75,49 +76,58 @@ def language_version(pkg: Column) -> tuple[Column, Column]:
     return name, version
 
 
-def container_facts(files: DataFrame) -> DataFrame:
-    """Long facts (path, container, kind, ord, a, b): image, os-package, lang-package,
-    key-file and setting."""
-    docker = files.where(is_dockerfile(F.col("path")))
-    folder = F.element_at(F.split("path", "/"), -2)
-    name = F.when(F.size(F.split("path", "/")) > 1, folder)
-    docker = docker.select("path", "text", F.coalesce(F.when(name != "", name), basename(F.col("path"))).alias("container"))
-    base = ["path", "container"]
-
-    def facts(df, pattern, kind, rank, **groups):
-        r = df.select(*base, F.explode(find_all(F.col("text"), pattern, **groups)).alias("m"))
-        return r.select(*base, F.lit(kind).alias("kind"), (F.lit(rank * 10**9).cast("bigint") + F.col("m.pos") * 10**4).alias("ord"),
-                        F.col("m." + list(groups)[0]).alias("a"),
-                        (F.col("m." + list(groups)[1]) if len(groups) > 1 else F.lit(None).cast("string")).alias("b"))
-
-    def packages(df, pattern, kind, rank, versioned):
-        r = facts(df, pattern, kind, rank, blob=1)
-        r = r.select(*base, "kind", "ord", F.posexplode(split_packages(F.col("a"))).alias("k", "pkg"))
-        n, v = versioned(F.col("pkg"))
-        return r.select(*base, "kind", (F.col("ord") + F.col("k")).alias("ord"), n.alias("a"), v.alias("b"))
-
-    lang = lambda df, rx, rank: packages(df, rx, "lang-package", rank, language_version).where(
-        "a <> '' AND NOT (a LIKE '.%' OR a LIKE '/%' OR a LIKE '-%')")
-    orch = files.where(is_orchestration(F.col("path")) & ~is_dockerfile(F.col("path")))
-    images = F.regexp_extract_all("text", F.lit(IMAGE), F.lit(1))
-    names = F.regexp_extract_all("text", F.lit(NAME), F.lit(1))
-    pairs = orch.select("path", "text", F.arrays_zip(images.alias("image"), F.slice(names, 1, F.greatest(F.size(images), F.lit(1))).alias("name")).alias("z"))
-    short = F.substring_index(F.element_at(F.split("z.image", "/"), -1), ":", 1)
-    each = pairs.select("path", "text", F.posexplode("z").alias("i", "z")).where("z.image IS NOT NULL")
-    each = each.select("path", "text", "i", F.coalesce("z.name", short).alias("container"), F.col("z.image").alias("image"))
-    images_k = each.select(*base, F.lit("image").alias("kind"), (F.col("i").cast("bigint") * 10**10).alias("ord"),
-                           F.col("image").alias("a"), F.lit(None).cast("string").alias("b"))
-    settings = facts(each.where("i = 0"), TLS_KEYS, "setting", 5, key=1, value=2).withColumn("b", strip(F.col("b")))
-    return reduce(DataFrame.unionByName, [
-        facts(docker, FROM, "image", 0, image=1),
-        packages(docker, OS_INSTALL, "os-package", 1, os_version),
-        lang(docker, PIP_INSTALL, 2), lang(docker, NPM_INSTALL, 3),
-        facts(docker, COPY_KEYS, "key-file", 4, ref=1), facts(docker, ENV_TLS, "setting", 5, key=1, value=2),
-        images_k, settings])
+def docker_facts(text: Column) -> Column:
+    """Facts of a build file: image, os-package, lang-package, key-file and setting."""
+    path = F.col("path")
+    folder = F.when(F.size(F.split(path, "/")) > 1, F.try_element_at(F.split(path, "/"), F.lit(-2)))
+    container = F.coalesce(F.when(folder != "", folder), basename(path))
+    pos = lambda m, rank: F.lit(rank * 10**9).cast("bigint") + m["pos"] * 10**4
+
+    def facts(pattern, kind, rank, **groups):
+        names = list(groups)
+        return found(text, pattern, lambda m: fact(kind, pos=pos(m, rank), a=m[names[0]], b=m[names[1]] if len(names) > 1 else None, c=container), **groups)
+
+    def packages(pattern, kind, rank, versioned, keep=None):
+        def row(m):
+            each = F.transform(split_packages(m["blob"]), lambda pkg, k: fact(kind, pos=pos(m, rank) + k, a=versioned(pkg)[0], b=versioned(pkg)[1], c=container))
+            return F.filter(each, keep) if keep else each
+
+        return F.flatten(found(text, pattern, row, blob=1))
+
+    named = lambda f: (f["a"] != "") & ~f["a"].startswith(".") & ~f["a"].startswith("/") & ~f["a"].startswith("-")
+    return F.when(is_dockerfile(path), together(
+        facts(FROM, "image", 0, image=1), packages(OS_INSTALL, "os-package", 1, os_version),
+        packages(PIP_INSTALL, "lang-package", 2, language_version, named), packages(NPM_INSTALL, "lang-package", 3, language_version, named),
+        facts(COPY_KEYS, "key-file", 4, ref=1), facts(ENV_TLS, "setting", 5, key=1, value=2)))
+
+
+def orchestration_facts(text: Column) -> Column:
+    """Images of a compose or cluster file; its settings belong to the first of them."""
+    path = F.col("path")
+    images, names = (F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in (IMAGE, NAME))
+    container = lambda z: F.coalesce(z["name"], F.substring_index(F.element_at(F.split(z["image"], "/"), -1), ":", 1))
+
+    def of_pairs(pairs):
+        each = F.transform(pairs, lambda z, i: F.when(z["image"].isNotNull(), fact("image", pos=i.cast("bigint") * 10**10, a=z["image"], c=container(z))))
+        first = F.get(pairs, F.lit(0))
+        settings = found(text, TLS_KEYS, lambda m: fact("setting", pos=F.lit(5 * 10**9).cast("bigint") + m["pos"] * 10**4, a=m["key"], b=strip(m["value"]), c=container(first)), key=1, value=2)
+        return together(F.array_compact(each), F.when(first["image"].isNotNull(), settings))
+
+    zipped = let(images, lambda i: F.arrays_zip(i.alias("image"), F.slice(names, 1, F.greatest(F.size(i), F.lit(1))).alias("name")))
+    return F.when(is_orchestration(path) & ~is_dockerfile(path), let(zipped, of_pairs))
+
+
+def container_facts(text: Column) -> Column:
+    return together(docker_facts(text), orchestration_facts(text))
 
 
 def container_detections(files: DataFrame) -> DataFrame:
-    f = container_facts(files)
+    return refine(facts_of(files, container_facts))
+
+
+def refine(facts: DataFrame) -> DataFrame:
+    kinds = ("image", "os-package", "lang-package", "key-file", "setting")
+    f = facts.where(F.col("fact").isin(*kinds)).select("path", F.col("c").alias("container"), F.col("fact").alias("kind"), F.col("pos").alias("ord"), "a", "b")
     common = {"file": F.col("path"), "detector": F.lit("container"), "language": F.lit("container"),
               "det_rank": F.lit(DETECTOR_RANK["container"]), "sub": F.lit(0)}
     image = with_library(f.where("kind = 'image'").withColumn("library", base_provider(F.col("a"))).where("library IS NOT NULL"))

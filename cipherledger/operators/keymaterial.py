@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import case, extension
 from ..sources.schemas import DETECTOR_RANK, conform
+from .facts import fact, facts_of
 
 PEM_BLOCK = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----\r?\n(.*?)-----END \1-----"
 CERTIFICATE_LABELS = ("CERTIFICATE", "X509 CERTIFICATE", "TRUSTED CERTIFICATE")
@@ -25,31 +26,41 @@ def pem_blocks(files: DataFrame) -> DataFrame:
             .withColumn("class", block_class(F.col("label"))))
 
 
-def key_containers(files: DataFrame) -> DataFrame:
-    """Password-protected containers, recorded as metadata."""
-    return files.where(extension(F.col("path")).isin(".p12", ".pfx")).select("path", F.lit("pkcs12").alias("class"))
-
-
 #: A certificate or a private key in text form; other blocks, such as requests, are text.
 PARSED = r"-----BEGIN (X509 |TRUSTED )?CERTIFICATE-----|-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
 
 
-def container_detections(files: DataFrame) -> DataFrame:
-    """One detection per password-protected container, found by its name alone."""
-    return conform(key_containers(files).select(
+def key_facts(text: Column) -> Column:
+    """One fact for a file that holds a private key."""
+    labels = F.regexp_extract_all(text, F.lit(PEM_BLOCK), F.lit(1))
+    some = F.contains(text, F.lit("-----BEGIN ")) & F.exists(labels, lambda label: block_class(label) == "private-key")
+    return F.when(some, F.array(fact("private-key")))
+
+
+def certificate_facts(text: Column) -> Column:
+    """One fact for every certificate block; certificates are parsed by ordinary tools."""
+    labels = F.filter(F.regexp_extract_all(text, F.lit(PEM_BLOCK), F.lit(1)), lambda label: block_class(label) == "certificate")
+    return F.when(F.contains(text, F.lit("-----BEGIN ")), F.transform(labels, lambda label, i: fact("certificate", pos=i, a=label)))
+
+
+def container_facts() -> Column:
+    """One fact for a password-protected container, found by its name alone."""
+    return F.when(extension(F.col("path")).isin(".p12", ".pfx"), F.array(fact("key-container")))
+
+
+def refine(facts: DataFrame) -> DataFrame:
+    """Private keys and containers: presence and location, recorded as metadata."""
+    key = F.col("fact") == "private-key"
+    return conform(facts.where(F.col("fact").isin("private-key", "key-container")).select(
         F.col("path").alias("file"), F.lit(DETECTOR_RANK["certificate-x509"]).alias("det_rank"),
-        F.lit(2 * 10**6).alias("ord"), F.lit(0).alias("sub"), F.lit("certificate-x509").alias("detector"),
-        F.lit("container-scan").alias("method"), F.lit("medium").alias("confidence"), F.lit("pkcs12").alias("language"),
-        F.lit("password-protected key container").alias("matched"), F.lit("content is not opened").alias("reasoning"),
-        F.lit("key-container").alias("api_call"), F.lit(True).alias("key_material_in_repo")))
+        F.when(key, 10**6).otherwise(2 * 10**6).alias("ord"), F.lit(0).alias("sub"), F.lit("certificate-x509").alias("detector"),
+        F.when(key, "pem-scan").otherwise("container-scan").alias("method"), F.when(key, "high").otherwise("medium").alias("confidence"),
+        F.when(key, "pem").otherwise("pkcs12").alias("language"),
+        F.when(key, "private key material").otherwise("password-protected key container").alias("matched"),
+        F.when(key, "presence and location only").otherwise("content is not opened").alias("reasoning"),
+        F.when(key, "private-key-detection").otherwise("key-container").alias("api_call"), F.lit(True).alias("key_material_in_repo")))
 
 
 def key_detections(files: DataFrame) -> DataFrame:
     """One detection per file that holds a private key."""
-    keys = pem_blocks(files).where("class = 'private-key'").select("path").distinct()
-    return conform(keys.select(
-        F.col("path").alias("file"), F.lit(DETECTOR_RANK["certificate-x509"]).alias("det_rank"),
-        F.lit(10**6).alias("ord"), F.lit(0).alias("sub"), F.lit("certificate-x509").alias("detector"),
-        F.lit("pem-scan").alias("method"), F.lit("high").alias("confidence"), F.lit("pem").alias("language"),
-        F.lit("private key material").alias("matched"), F.lit("presence and location only").alias("reasoning"),
-        F.lit("private-key-detection").alias("api_call"), F.lit(True).alias("key_material_in_repo")))
+    return refine(facts_of(files, key_facts))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename, lookup, present
+from ..functions.columns import basename, let, lookup, present
 from ..functions.packages import capability, resolve_package, with_library
 from ..functions.text import find_all, newlines, split_lines
 from ..sources.schemas import DETECTOR_RANK, conform
+from .facts import FACTS, fact, facts_of, found, together
 
 # Manifest file name -> ecosystem.
 MANIFESTS = {
@@ -36,87 +35,89 @@ def _value(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _named(files: DataFrame, *names: str) -> DataFrame:
-    return files.where(basename(F.col("path")).isin(*names))
+def _named(facts: Column, *names: str) -> Column:
+    return F.when(basename(F.col("path")).isin(*names), facts)
+
+
+def _dependency(eco: str, name: Column, version: Column, line, pos: Column, direct: bool = True) -> Column:
+    return fact("dependency", rule=int(direct), line=line, pos=pos, a=name, b=version, c=eco)
 
 
-def _rows(df: DataFrame, eco: str, name: Column, version: Column, line, ord, direct=True) -> DataFrame:
-    direct = direct if isinstance(direct, Column) else F.lit(direct)
-    return df.select("path", name.alias("name"), version.alias("version"), F.lit(eco).alias("ecosystem"),
-                     line.cast("int").alias("line"), ord.cast("bigint").alias("ord"), direct.alias("direct"))
+def python_facts(text: Column) -> Column:
+    rows = F.filter(find_all(text, PY_REQUIREMENT, name=1, version=2), lambda m: ~F.lower(m["name"]).isin(*PY_STOP))
+    return _named(F.transform(rows, lambda m: _dependency("pypi", m["name"], _value(m["version"]), m["line"], m["pos"])), *[m for m, e in MANIFESTS.items() if e == "pypi"])
 
 
-def python_rows(files: DataFrame) -> DataFrame:
-    f = _named(files, *[m for m, e in MANIFESTS.items() if e == "pypi"])
-    r = f.select("path", F.explode(find_all(F.col("text"), PY_REQUIREMENT, name=1, version=2)).alias("m"))
-    return _rows(r.where(~F.lower("m.name").isin(*PY_STOP)), "pypi", F.col("m.name"), _value(F.col("m.version")), F.col("m.line"), F.col("m.pos"))
+def npm_facts(text: Column) -> Column:
+    def section(name: str, first: int, direct: bool) -> Column:
+        def row(e, k):
+            before = F.substring(text, F.lit(1), F.greatest(F.lit(0), F.instr(text, F.concat(F.lit('"'), e["key"], F.lit('"'))) - 1))
+            return _dependency("npm", e["key"], F.regexp_replace(e["value"], r"^[\^~>=< ]+", ""), newlines(before) + 1, k + first, direct)
 
+        return F.transform(F.map_entries(F.from_json(text, f"struct<{name}:map<string,string>>")[name]), row)
 
-def npm_rows(files: DataFrame) -> DataFrame:
-    f = _named(files, "package.json")
-    sections = (("dependencies", True), ("devDependencies", False), ("optionalDependencies", False))
-    doc = F.from_json("text", "struct<" + ", ".join(f"{s}:map<string,string>" for s, _ in sections) + ">")
-    f = f.select("path", "text", doc.alias("doc"))
-    out = []
-    for i, (s, direct) in enumerate(sections):
-        r = f.select("path", "text", F.posexplode(F.col("doc")[s]).alias("k", "name", "raw"))
-        line = newlines(F.expr("substring(text, 1, greatest(0, instr(text, concat('\"', name, '\"')) - 1))")) + 1
-        out.append(_rows(r, "npm", F.col("name"), F.regexp_replace("raw", r"^[\^~>=< ]+", ""), line, F.col("k") + i * 100000, direct))
-    return reduce(DataFrame.unionByName, out)
+    return _named(together(section("dependencies", 0, True), section("devDependencies", 100_000, False), section("optionalDependencies", 200_000, False)), "package.json")
 
 
-def npm_lock_rows(files: DataFrame) -> DataFrame:
-    f = _named(files, "package-lock.json")
+def npm_lock_facts(text: Column) -> Column:
     entry = "map<string,struct<version:string>>"
-    doc = F.from_json("text", f"struct<name:string, packages:{entry}, dependencies:{entry}>")
-    f = f.select("path", doc.alias("doc"))
-    used = F.when(F.size("doc.packages") > 0, F.col("doc.packages")).otherwise(F.col("doc.dependencies"))
-    r = f.select("path", "doc.name", F.posexplode(used).alias("k", "key", "meta")).where("meta IS NOT NULL")
-    name = F.coalesce(_value(F.element_at(F.split("key", "node_modules/"), -1)), _value(F.col("name")))
-    return _rows(r.withColumn("pkg", name).where("pkg IS NOT NULL"), "npm", F.col("pkg"), F.col("meta.version"), F.lit(1), F.col("k"), False)
 
+    def of_doc(doc):
+        used = F.map_entries(F.when(F.size(doc["packages"]) > 0, doc["packages"]).otherwise(doc["dependencies"]))
+        name = lambda e: F.coalesce(_value(F.element_at(F.split(e["key"], "node_modules/"), -1)), _value(doc["name"]))
+        return F.transform(used, lambda e, k: F.when(e["value"].isNotNull() & name(e).isNotNull(), _dependency("npm", name(e), e["value"]["version"], 1, k, False)))
+
+    doc = F.from_json(text, f"struct<name:string, packages:{entry}, dependencies:{entry}>")
+    return _named(F.array_compact(let(doc, of_doc)), "package-lock.json")
+
+
+def maven_facts(text: Column) -> Column:
+    def row(m):
+        tag = lambda t: _value(F.regexp_extract(m["block"], f"<{t}>([^<]+)</{t}>", 1))
+        return F.when(tag("artifactId").isNotNull(), _dependency("maven", F.concat_ws(":", tag("groupId"), tag("artifactId")), tag("version"), m["line"], m["pos"]))
 
-def maven_rows(files: DataFrame) -> DataFrame:
-    r = _named(files, "pom.xml").select("path", F.explode(find_all(F.col("text"), MAVEN, block=1)).alias("m"))
-    tag = lambda t: _value(F.regexp_extract("m.block", f"<{t}>([^<]+)</{t}>", 1))
-    name = F.concat_ws(":", tag("groupId"), tag("artifactId"))
-    return _rows(r.where(tag("artifactId").isNotNull()), "maven", name, tag("version"), F.col("m.line"), F.col("m.pos"))
+    return _named(F.array_compact(found(text, MAVEN, row, block=1)), "pom.xml")
 
 
-def gradle_rows(files: DataFrame) -> DataFrame:
-    r = _named(files, "build.gradle", "build.gradle.kts").select(
-        "path", F.explode(find_all(F.col("text"), GRADLE, g=1, a=2, v=3)).alias("m"))
-    return _rows(r, "gradle", F.concat_ws(":", "m.g", "m.a"), F.col("m.v"), F.col("m.line"), F.col("m.pos"))
+def gradle_facts(text: Column) -> Column:
+    return _named(found(text, GRADLE, lambda m: _dependency("gradle", F.concat_ws(":", m["g"], m["a"]), m["v"], m["line"], m["pos"]), g=1, a=2, v=3), "build.gradle", "build.gradle.kts")
 
 
-def go_rows(files: DataFrame) -> DataFrame:
-    r = _named(files, "go.mod", "go.sum").select(
-        "path", F.explode(find_all(F.col("text"), GO_MODULE, name=1, version=2)).alias("m"))
-    return _rows(r, "go", F.col("m.name"), F.col("m.version"), F.col("m.line"), F.col("m.pos"))
+def go_facts(text: Column) -> Column:
+    return _named(found(text, GO_MODULE, lambda m: _dependency("go", m["name"], m["version"], m["line"], m["pos"]), name=1, version=2), "go.mod", "go.sum")
 
 
-def cargo_rows(files: DataFrame) -> DataFrame:
+def cargo_facts(text: Column) -> Column:
     """Only lines inside a section whose header names dependencies."""
-    r = _named(files, "Cargo.toml", "Cargo.lock").select(
-        "path", F.explode(find_all(F.col("text"), CARGO_SECTION, head=1, body=2)).alias("s"))
-    r = r.where(F.contains("s.head", F.lit("dependencies"))).select(
-        "path", "s.line", F.posexplode(split_lines(F.col("s.body"))).alias("i", "text"))
-    g = lambda n: _value(F.regexp_extract("text", CARGO_LINE, n))
-    return _rows(r.where(g(1).isNotNull()), "cargo", g(1), F.coalesce(g(2), g(3)), F.col("line") + F.col("i"), F.col("line") + F.col("i"))
+    def section(s):
+        def row(line, i):
+            g = lambda n: _value(F.regexp_extract(line, CARGO_LINE, n))
+            return F.when(g(1).isNotNull(), _dependency("cargo", g(1), F.coalesce(g(2), g(3)), s["line"] + i, s["line"] + i))
 
+        return F.when(F.contains(s["head"], F.lit("dependencies")), F.array_compact(F.transform(split_lines(s["body"]), row))).otherwise(F.array().cast(FACTS))
 
-def dependencies(files: DataFrame) -> DataFrame:
+    return _named(F.flatten(found(text, CARGO_SECTION, section, head=1, body=2)), "Cargo.toml", "Cargo.lock")
+
+
+def manifest_facts(text: Column) -> Column:
+    return together(*[f(text) for f in (python_facts, npm_facts, npm_lock_facts, maven_facts, gradle_facts, go_facts, cargo_facts)])
+
+
+def dependencies(facts: DataFrame) -> DataFrame:
     """Declared packages of all manifests; the first (name, version) of a manifest wins."""
-    rows = reduce(DataFrame.unionByName, [g(files) for g in (
-        python_rows, npm_rows, npm_lock_rows, maven_rows, gradle_rows, go_rows, cargo_rows)])
+    rows = facts.where("fact = 'dependency'").select("path", F.col("a").alias("name"), F.col("b").alias("version"), F.col("c").alias("ecosystem"), "line", (F.col("rule") == 1).alias("direct"), F.col("pos").alias("ord"))
     return (rows.groupBy("path", F.lower("name").alias("k"), "version")
             .agg(F.min_by(F.struct("name", "ecosystem", "line", "direct", "ord"), "ord").alias("d"))
             .select("path", "version", "d.*"))
 
 
 def dependency_detections(files: DataFrame) -> DataFrame:
+    return refine(facts_of(files, manifest_facts))
+
+
+def refine(facts: DataFrame) -> DataFrame:
     """Cryptographic libraries among the declared packages."""
-    d = with_library(dependencies(files).withColumn("library", resolve_package(F.col("name"))).where("library IS NOT NULL"))
+    d = with_library(dependencies(facts).withColumn("library", resolve_package(F.col("name"))).where("library IS NOT NULL"))
     cap = capability(F.col("lib_pqc"), F.col("lib_since"), F.col("version"))
     return conform(d.select(
         F.col("path").alias("file"), F.lit(DETECTOR_RANK["dependency-manifest"]).alias("det_rank"), "ord",

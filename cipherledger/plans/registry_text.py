@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.packages import resolve_package
 from ..knowledge.tables import values_sql
 from ..operators import binaries, callsites, config, containers, detect, keymaterial, lexical, manifests
+from ..operators.facts import facts_of
 from ..session import tune, write_stage
 from ..sources import driver_tables as dt
 from ..sources import driver_text as tx
 from ..sources import files as fs
 from . import oracle_base as o
-from .registry import register
+from .registry import ORACLES, register
 
 _FILES: dict = {}
 
@@ -33,12 +34,19 @@ files AS (SELECT DISTINCT {', '.join(f'{e} AS {n}' for n, e in tx.FILE_SQL.items
 Q = lambda body: o.query(FILES_CTE, body)
 
 
-@register("corpus_coverage", Q("""
-SELECT count(*) AS files_seen, count(*) FILTER (WHERE path NOT LIKE '%.mod') AS files_analyzed, count(*) FILTER (WHERE path LIKE '%.mod') AS skipped_files, sum(octet_length(encode(text)))::BIGINT AS bytes_analyzed,
+COVERAGE_CTE = f"""
+, all_files AS (SELECT path, text, octet_length(encode(text)) AS length, NULL::VARCHAR AS body FROM files
+  UNION ALL SELECT file, NULL, length(body) + 5, body FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in tx.STRING_SQL.items())} FROM part)),
+coverage AS (SELECT count(*) AS files_seen, count(*) FILTER (WHERE path NOT LIKE '%.mod') AS files_analyzed, count(*) FILTER (WHERE path LIKE '%.mod') AS skipped_files, sum(length)::BIGINT AS bytes_analyzed,
   count(*) FILTER (WHERE regexp_matches(path, '/(requirements.txt|package.json|pom.xml|build.gradle)$')) AS manifests,
-  count(*) FILTER (WHERE path LIKE '%.conf') AS configs, 0::BIGINT AS binaries FROM files"""))
+  count(*) FILTER (WHERE path LIKE '%.conf') AS configs, count(body) AS binaries FROM all_files)"""
+
+
+@register("corpus_coverage", Q(COVERAGE_CTE + " SELECT * FROM coverage"))
 def corpus_coverage(spark, sf) -> DataFrame:
-    return fs.coverage(fs.routed_text(files(spark, sf)))
+    counts = detect.file_counts()
+    names = ("files_seen", "files_analyzed", "skipped_files", "bytes_analyzed", "manifests", "configs", "binaries")
+    return fs.routed_text(files(spark, sf)).unionByName(binary_files(spark, sf), allowMissingColumns=True).agg(*[counts[n].alias(n) for n in names])
 
 
 @register("corpus_languages", Q("""
@@ -96,8 +104,7 @@ def lexical_parameters_all(spark, sf) -> DataFrame:
 , c AS (SELECT path, unnest(regexp_extract_all(regexp_extract(text, '{config.DIRECTIVES[0][0]}', 1), '{config.TLS_TOKEN}')) AS t FROM files WHERE path LIKE '%.conf')
 SELECT path AS file, 1 AS line, {o.cmap('lower(t)', {k: v[0] for k, v in config.VERSIONS.items()})} AS protocol, {o.cmap('lower(t)', {k: v[1] for k, v in config.VERSIONS.items()})} AS protocol_version, t AS matched FROM c"""))
 def config_protocols(spark, sf) -> DataFrame:
-    f = files(spark, sf)
-    return config.protocol_rows(f.where(config.is_config(F.col("path")))).select("file", "line", "protocol", "protocol_version", "matched")
+    return config.protocol_rows(facts_of(files(spark, sf), config.config_facts)).select("file", "line", "protocol", "protocol_version", "matched")
 
 
 SUITES = ", ".join("CASE WHEN regexp_matches(s, '(?i)%s') THEN '%s' END" % (rx.replace(r"(?!\d)", ""), a) for rx, a in config.SUITE_ALGORITHMS)
@@ -109,8 +116,7 @@ a AS (SELECT DISTINCT path, unnest(list_filter([{SUITES}], lambda x: x IS NOT NU
 SELECT path AS file, 2 AS line, alg AS algorithm, CASE WHEN kb_family = 'RSA' THEN 'authentication' ELSE kb_default_role END AS role, alg AS matched, '' AS weak FROM a JOIN kb ON alg = kb_id
 UNION ALL SELECT path, 2, NULL, NULL, w, w FROM (SELECT path, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '{config.WEAK}'))), ',') AS w FROM c) WHERE w <> ''"""))
 def config_cipher_suites(spark, sf) -> DataFrame:
-    f = files(spark, sf)
-    rows = config.suite_rows(f.where(config.is_config(F.col("path"))))
+    rows = config.suite_rows(facts_of(files(spark, sf), config.config_facts))
     return rows.select("file", "line", "algorithm", "role", "matched", F.coalesce(F.array_join("weak_suite_tokens", ","), F.lit("")).alias("weak"))
 
 
@@ -119,15 +125,13 @@ def config_cipher_suites(spark, sf) -> DataFrame:
 names AS (SELECT * FROM (VALUES ('X25519MLKEM768', 'x25519mlkem768', 'TLS'), ('X25519', 'x25519', 'TLS'), ('ecdhe', 'ecdh', 'TLS'), ('sntrup761x25519-sha512', 'x25519', 'SSH'), ('x448', 'x448', 'TLS'), ('ml-kem-768', 'ml-kem-768', 'TLS')) AS v(t, alg, proto))
 SELECT path AS file, 3 AS line, alg AS algorithm, proto AS protocol, t AS matched, t LIKE 'sntrup%' AS hybrid_non_nist FROM c JOIN names USING (t)"""))
 def config_groups(spark, sf) -> DataFrame:
-    f = files(spark, sf)
-    return config.group_rows(f.where(config.is_config(F.col("path")))).select("file", "line", "algorithm", "protocol", "matched", "hybrid_non_nist")
+    return config.group_rows(facts_of(files(spark, sf), config.config_facts)).select("file", "line", "algorithm", "protocol", "matched", "hybrid_non_nist")
 
 
 @register("config_key_references", Q("""
 SELECT path AS file, 4 AS line, regexp_extract(text, 'ssl_certificate_key ([^;]+);', 1) AS matched, 'private-key file reference' AS reasoning FROM files WHERE path LIKE '%.conf'"""))
 def config_key_references(spark, sf) -> DataFrame:
-    f = files(spark, sf)
-    return config.reference_rows(f.where(config.is_config(F.col("path")))).select("file", "line", "matched", "reasoning")
+    return config.reference_rows(facts_of(files(spark, sf), config.config_facts)).select("file", "line", "matched", "reasoning")
 
 
 @register("manifest_dependencies", Q(r"""
@@ -216,16 +220,50 @@ def binary_strings(spark, sf) -> DataFrame:
 def binary_files(spark, sf) -> DataFrame:
     """String bodies as routed binary files, behind the leading bytes of their format."""
     rows = dt.table(spark, sf, "part").selectExpr(*dt.columns(tx.STRING_SQL))
-    return rows.select(F.col("file").alias("path"), F.lit("binary").alias("kind"),
-                       F.concat(F.unhex(F.lit("7F454C4600")), F.encode("body", "ISO-8859-1")).alias("content"))
+    content = F.concat(F.unhex(F.lit("7F454C4600")), F.encode("body", "ISO-8859-1"))
+    return rows.select(F.col("file").alias("path"), F.lit("binary").alias("kind"), F.lit(None).cast("string").alias("skip_reason"),
+                       F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
-@register("fan_out_detections")
-def fan_out_detections(spark, sf) -> DataFrame:
-    """Every detector over the whole corpus, the derived binaries and the linkage and symbol
-    tables, counted by detector, method and confidence."""
-    as_of = F.lit(dt.AS_OF).cast("timestamp")
+# Each detector's own SQL, counted; module files have an extension that the fan-out skips.
+COUNTED = [("lexical-context", "method", "confidence", "lexical_tokens"), ("config-semantic", "'config-directive'", "'high'", "config_protocols"),
+           ("config-semantic", "'config-directive'", "'high'", "config_groups"), ("config-semantic", "'config-directive'", "'high'", "config_key_references"),
+           ("config-semantic", "'config-cipher-suite'", "'high'", "config_cipher_suites"), ("dependency-manifest", "'manifest'", "'high'", "manifest_dependencies"),
+           ("container", "method", "confidence", "container_evidence"), ("certificate-x509", "'pem-scan'", "'high'", "private_key_files"),
+           ("python-ast", "'ast-call'", "'high'", "python_call_sites"), ("binary-format", "'dynamic-linkage'", "'high'", "binary_linkage"),
+           ("binary-format", "'symbol-table'", "'medium'", "binary_symbols"), ("binary-format", "'strings'", "'low'", "binary_strings"),
+           ("certificate-x509", "'x509-parse'", "'high'", "certificate_detections")]
+COUNTS_SQL = " UNION ALL ".join(f"SELECT '{d}' AS detector, {m} AS method, {c} AS confidence, CAST(file AS VARCHAR) AS file FROM ({ORACLES[q]}) WHERE file NOT LIKE '%.mod'" for d, m, c, q in COUNTED)
+
+
+def fan_out(spark, sf) -> tuple[detect.Facts, DataFrame]:
+    """Facts and detections of the whole corpus, the derived binaries, and the certificate,
+    linkage and symbol tables."""
     part = dt.table(spark, sf, "part")
-    routed = fs.routed_text(files(spark, sf)).unionByName(binary_files(spark, sf), allowMissingColumns=True)
-    d = detect.detect(routed, as_of, dt.certificates(spark, sf), part.selectExpr(*dt.columns(tx.LINKAGE_SQL)), part.selectExpr(*dt.columns(tx.SYMBOL_SQL)))
-    return d.groupBy("detector", "method", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    facts = detect.Facts(fs.routed_text(files(spark, sf)).unionByName(binary_files(spark, sf), allowMissingColumns=True))
+    return facts, facts.detections(F.lit(dt.AS_OF).cast("timestamp"), dt.certificates(spark, sf), part.selectExpr(*dt.columns(tx.LINKAGE_SQL)), part.selectExpr(*dt.columns(tx.SYMBOL_SQL)))
+
+
+@register("fan_out_detections", f"SELECT detector, method, confidence, count(*) AS n FROM ({COUNTS_SQL}) GROUP BY ALL")
+def fan_out_detections(spark, sf) -> DataFrame:
+    """Every detector over the whole corpus, counted by detector, method and confidence."""
+    return fan_out(spark, sf)[1].groupBy("detector", "method", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("coverage_counters", Q(COVERAGE_CTE + f"""
+, found AS MATERIALIZED ({COUNTS_SQL}),
+declared AS (SELECT sum(CASE WHEN path LIKE '%/requirements.txt' THEN 3 WHEN path LIKE '%/package.json' THEN 2 WHEN regexp_matches(path, '/(pom.xml|build.gradle)$') THEN 1 ELSE 0 END) AS packages,
+  3 * count(*) FILTER (WHERE path LIKE '%.py') AS calls, count(*) FILTER (WHERE text LIKE '%BEGIN CERTIFICATE-----%') AS certificates, count(*) FILTER (WHERE text LIKE '%PRIVATE KEY%') AS private_keys,
+  count(*) FILTER (WHERE path LIKE '%.mod') AS unknown FROM files),
+languages AS (SELECT CASE split_part(path, '.', -1) WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'conf' THEN 'config' WHEN 'json' THEN 'json' WHEN 'xml' THEN 'xml' END AS name, count(*) AS n FROM files GROUP BY 1)
+SELECT 'scan' AS counter, name, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT * FROM coverage) ON COLUMNS(*) INTO NAME name VALUE n)
+UNION ALL SELECT 'scan', unnest(['certificates', 'private_keys', 'key_containers', 'declared_packages', 'calls']), unnest([certificates, private_keys, 0, packages, calls])::BIGINT FROM declared
+UNION ALL SELECT 'skipped', 'unknown-extension', unknown FROM declared WHERE unknown > 0
+UNION ALL SELECT 'language', name, n FROM languages WHERE name IS NOT NULL
+UNION ALL SELECT 'detector', detector, count(*) FROM found GROUP BY detector
+UNION ALL SELECT 'scan', 'containers', count(DISTINCT file) FROM found WHERE detector = 'container'
+UNION ALL SELECT 'scan', 'dependencies', count(*) FROM found WHERE detector = 'dependency-manifest'"""))
+def coverage_counters(spark, sf) -> DataFrame:
+    """What the single scan of the corpus counted, and detections by detector."""
+    facts, detections = fan_out(spark, sf)
+    return facts.coverage(detections)
