@@ -72,17 +72,19 @@ cpeak AS (SELECT max(dependency_centrality) AS peak FROM central)"""
 SCORE = lambda col: o.round_tenth(f"(100.0::DOUBLE * {col} / peak)")
 
 KIND_COLUMNS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {impact.PLURAL[k]}" for k in impact.KINDS)
-PREREQ_CTE = CENTRAL_CTE + """,
+GATE_CTE = CENTRAL_CTE + """,
 gate AS MATERIALIZED (SELECT *, lib_node IS NOT NULL AND algorithm IS NULL AND migration_decision IN ('UPGRADE', 'HARDEN') AS is_provider,
     coalesce(protocol = 'TLS' AND protocol_version IN ('1.0', '1.1', '1.2') AND recommended_strategy = 'upgrade-protocol', false) AS is_gate,
     coalesce(protocol = 'TLS' AND protocol_version IN ('1.0', '1.1', '1.2') AND recommended_strategy <> 'upgrade-protocol', false) AS waits FROM central),
-holder AS (SELECT cert_node AS dst, first(asset_id ORDER BY asset_seq) AS holder_id FROM gate WHERE cert_node IS NOT NULL GROUP BY 1),
+holder AS (SELECT cert_node AS dst, first(asset_id ORDER BY asset_seq) AS holder_id FROM gate WHERE cert_node IS NOT NULL GROUP BY 1)"""
+# Explicit pairs, for queries that list them; counts come from resources.
+PREREQ_CTE = GATE_CTE + """,
 pairs0 AS (
   SELECT a.asset_id, b.asset_id AS prereq_id, 0 AS k FROM gate a JOIN gate b ON a.lib_node = b.lib_node AND b.is_provider
   UNION ALL SELECT a.asset_id, holder_id, 1 FROM gate a JOIN issued i ON a.cert_node = i.src JOIN holder USING (dst)
   UNION ALL SELECT a.asset_id, b.asset_id, 2 FROM gate a JOIN gate b ON a.proto_node = b.proto_node AND a.waits AND b.is_gate),
 pairs AS MATERIALIZED (SELECT asset_id, prereq_id, min(k) AS k FROM pairs0 WHERE asset_id <> prereq_id GROUP BY 1, 2)"""
-IMPACT_CTE = PREREQ_CTE + f""",
+IMPACT_CTE = GATE_CTE + f""",
 mapped AS (SELECT * FROM gate WHERE owner IS NOT NULL),
 f_par AS (SELECT DISTINCT p_file AS file, p_repository AS repo, CASE WHEN p_repository IS NULL THEN application END AS app FROM mapped),
 repo_apps AS (SELECT repo, app FROM repos UNION SELECT p_repository, application FROM mapped WHERE p_repository IS NOT NULL),
@@ -103,9 +105,22 @@ reach AS (SELECT asset_id, kind, unit FROM own_reach UNION SELECT asset_id, kind
 reach_n AS (SELECT asset_id, {KIND_COLUMNS}, min(unit) FILTER (WHERE kind = 'application') AS first_application FROM reach GROUP BY 1),
 r_months AS (SELECT r, max(migration_months) AS m FROM ar JOIN gate USING (asset_id) GROUP BY 1),
 c_months AS (SELECT asset_id, max(m) AS m FROM ar JOIN r_months USING (r) GROUP BY 1),
-pre_n AS (SELECT p.asset_id, count(*) AS n, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
-    max(b.migration_months) AS m FROM pairs p JOIN gate b ON p.prereq_id = b.asset_id GROUP BY 1),
-unb AS (SELECT prereq_id AS asset_id, count(*) AS n FROM pairs GROUP BY 1),
+pki AS MATERIALIZED (SELECT DISTINCT a.asset_id, b.asset_id AS prereq_id, b.migration_months, coalesce(b.is_provider AND b.lib_node = a.lib_node, false) AS via_lib,
+    coalesce(b.is_gate AND a.waits AND b.proto_node = a.proto_node, false) AS via_proto
+  FROM gate a JOIN issued i ON a.cert_node = i.src JOIN holder USING (dst) JOIN gate b ON b.asset_id = holder_id WHERE a.asset_id <> b.asset_id),
+pki_pre AS (SELECT asset_id, count(*) FILTER (WHERE NOT via_lib) AS n, count(*) FILTER (WHERE via_proto AND NOT via_lib) AS both, max(migration_months) AS m FROM pki GROUP BY 1),
+pki_unb AS (SELECT prereq_id, count(*) FILTER (WHERE NOT via_lib) AS n, count(*) FILTER (WHERE via_proto AND NOT via_lib) AS both FROM pki GROUP BY 1),
+lib_n AS (SELECT lib_node, count(*) AS users, count(*) FILTER (WHERE is_provider) AS providers, list_sort(list({{'m': migration_months, 'id': asset_id}}) FILTER (WHERE is_provider), 'DESC')[:2] AS top
+  FROM gate WHERE lib_node IS NOT NULL GROUP BY 1),
+proto_n AS (SELECT proto_node, count(*) FILTER (WHERE waits) AS waiters, count(*) FILTER (WHERE is_gate) AS gates, max(migration_months) FILTER (WHERE is_gate) AS m FROM gate WHERE proto_node IS NOT NULL GROUP BY 1),
+both_n AS (SELECT lib_node, proto_node, count(*) FILTER (WHERE waits) AS waiters, count(*) FILTER (WHERE is_gate AND is_provider) AS gates FROM gate WHERE lib_node IS NOT NULL AND proto_node IS NOT NULL GROUP BY 1, 2),
+pre_n AS (SELECT *, n0 + n1 + n2 AS n FROM (SELECT g.asset_id, coalesce(l.providers, 0) - CASE WHEN is_provider THEN 1 ELSE 0 END AS n0, coalesce(k.n, 0) AS n1,
+    CASE WHEN waits THEN coalesce(p.gates, 0) - coalesce(b.gates, 0) - coalesce(k.both, 0) ELSE 0 END AS n2,
+    greatest(CASE WHEN l.top[1].id = g.asset_id THEN l.top[2].m ELSE l.top[1].m END, k.m, CASE WHEN waits THEN p.m END) AS m
+  FROM gate g LEFT JOIN lib_n l USING (lib_node) LEFT JOIN proto_n p USING (proto_node) LEFT JOIN both_n b ON g.lib_node = b.lib_node AND g.proto_node = b.proto_node LEFT JOIN pki_pre k ON g.asset_id = k.asset_id)),
+unb AS (SELECT g.asset_id, CASE WHEN is_provider THEN l.users - 1 ELSE 0 END + coalesce(k.n, 0)
+    + CASE WHEN is_gate THEN p.waiters - CASE WHEN is_provider THEN coalesce(b.waiters, 0) ELSE 0 END - coalesce(k.both, 0) ELSE 0 END AS n
+  FROM gate g LEFT JOIN lib_n l USING (lib_node) LEFT JOIN proto_n p USING (proto_node) LEFT JOIN both_n b ON g.lib_node = b.lib_node AND g.proto_node = b.proto_node LEFT JOIN pki_unb k ON g.asset_id = k.prereq_id),
 impacts AS MATERIALIZED (SELECT g.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in impact.PLURAL.values())}, first_application,
     coalesce(pre_n.n, 0) AS prerequisites, coalesce(n0, 0) AS provider_prerequisites, coalesce(n1, 0) AS pki_prerequisites, coalesce(n2, 0) AS protocol_prerequisites,
     coalesce(unb.n, 0) AS unblocks, greatest(migration_months, coalesce(c_months.m, 0)) + coalesce(pre_n.m, 0) AS coordinated_effort_months,
@@ -121,11 +136,14 @@ PHASED = """CASE WHEN recommended_strategy IN ('verify-manually', 'determine-rol
   WHEN migration_decision = 'HARDEN' THEN 3 ELSE 5 END"""
 # Four rounds of pulling blockers forward; the last one must change nothing.
 ROUNDS = "".join(f""",
-round{i} AS MATERIALIZED (SELECT i.asset_id, CASE WHEN i.n = 1 THEN 1 ELSE least(i.n, coalesce(m.n, i.n)) END AS n FROM round{i - 1} i LEFT JOIN (
-  SELECT prereq_id, min(d.n) AS n FROM pairs JOIN round{i - 1} d USING (asset_id) WHERE d.n > 1 GROUP BY 1) m ON i.asset_id = m.prereq_id)""" for i in range(1, 5))
+lib_min{i} AS (SELECT lib_node, min(n) AS n FROM round{i - 1} WHERE n > 1 AND lib_node IS NOT NULL GROUP BY 1),
+proto_min{i} AS (SELECT proto_node, min(n) AS n FROM round{i - 1} WHERE n > 1 AND waits GROUP BY 1),
+pki_min{i} AS (SELECT prereq_id, min(n) AS n FROM pki JOIN round{i - 1} USING (asset_id) WHERE n > 1 GROUP BY 1),
+round{i} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN r.n = 1 THEN 1 ELSE least(r.n, CASE WHEN is_provider THEN l.n END, CASE WHEN is_gate THEN p.n END, k.n) END AS n)
+  FROM round{i - 1} r LEFT JOIN lib_min{i} l USING (lib_node) LEFT JOIN proto_min{i} p USING (proto_node) LEFT JOIN pki_min{i} k ON r.asset_id = k.prereq_id)""" for i in range(1, 5))
 ITEMS_CTE = IMPACT_CTE + f""",
 placed AS MATERIALIZED (SELECT *, {PHASED} AS n0_phase FROM impacts WHERE migration_decision <> 'RETAIN'),
-round0 AS (SELECT asset_id, n0_phase AS n FROM placed){ROUNDS},
+round0 AS (SELECT asset_id, lib_node, proto_node, is_provider, is_gate, waits, n0_phase AS n FROM placed){ROUNDS},
 items AS (SELECT p.*, 'PH' || n0_phase AS placed_phase, 'PH' || r.n AS phase FROM placed p JOIN round4 r USING (asset_id))"""
 
 
@@ -312,7 +330,13 @@ def roadmap_top_of_band(spark, sf) -> DataFrame:
 
 
 @register("enablement_waves", o.query(ITEMS_CTE, """
-, f AS (SELECT prereq_id AS asset_id, count(DISTINCT i.first_application) AS n FROM pairs JOIN impacts i USING (asset_id) WHERE i.first_application IS NOT NULL GROUP BY 1)
+, named AS (SELECT * FROM impacts WHERE first_application IS NOT NULL),
+lib_apps AS (SELECT lib_node, first_application AS app, count(*) AS n FROM named WHERE lib_node IS NOT NULL GROUP BY 1, 2),
+proto_apps AS (SELECT DISTINCT proto_node, first_application AS app FROM named WHERE waits AND proto_node IS NOT NULL),
+f AS (SELECT asset_id, count(*) AS n FROM (
+  SELECT g.asset_id, app FROM impacts g JOIN lib_apps USING (lib_node) WHERE is_provider AND n > CASE WHEN first_application = app THEN 1 ELSE 0 END
+  UNION SELECT g.asset_id, app FROM impacts g JOIN proto_apps USING (proto_node) WHERE is_gate
+  UNION SELECT prereq_id, first_application FROM pki JOIN named USING (asset_id)) GROUP BY 1)
 SELECT asset_id AS gating_asset, asset_name AS gating_asset_name, phase, migration_decision AS decision, recommended_strategy AS strategy,
   unblocks AS dependent_assets, coalesce(f.n, 0) AS applications, coordinated_effort_months AS months FROM items LEFT JOIN f USING (asset_id) WHERE unblocks > 0"""))
 def enablement_waves(spark, sf) -> DataFrame:
