@@ -5,7 +5,8 @@ blocks their bits are cut into. Every choice of that many blocks is a mask, and
 fingerprints that share the bits under a mask form a top node with no accumulated
 difference. Within a node fingerprints are sorted by Gray rank; groups of neighbours factor
 the bits they share into upper nodes, and a search drops a whole group as soon as the
-differences accumulated down to it exceed the distance. All links of a node are found, but
+differences accumulated down to it exceed the distance. The nodes of a batch, small or large,
+are one index, whose groups also know the nodes they hold. All links of a node are found, but
 only a spanning star of each linked group leaves it.
 
 A node with more than ``node_rows`` fingerprints is cut into parts by hash and every two
@@ -30,7 +31,7 @@ from ..session import drop_stage, write_stage
 from .components import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
-BLOCKS, NODE_ROWS, FAN_OUT, SMALL_NODE, QUERY_ROWS = 6, 4096, 16, 32, 256
+BLOCKS, NODE_ROWS, FAN_OUT, QUERY_ROWS = 6, 4096, 16, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -80,38 +81,39 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of groups over codes in Gray order; each group holds the bits its codes share
-    that no group above holds."""
+    """Levels of groups over codes in Gray order, those of one node next to each other. Each
+    group holds the bits its codes share that no group above holds, and its range of nodes."""
 
-    def __init__(self, codes: np.ndarray, fan_out: int = FAN_OUT):
-        self.codes, self.fan_out = codes, fan_out
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        both, either = codes, codes
+    def __init__(self, codes: np.ndarray, node: np.ndarray, fan_out: int = FAN_OUT):
+        self.codes, self.node, self.fan_out = codes, node, fan_out
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        both, either, low, high = codes, codes, node, node
         while True:
             starts = np.arange(0, len(both), fan_out)
             both, either = np.bitwise_and.reduceat(both, starts), np.bitwise_or.reduceat(either, starts)
-            self.levels.append((~(both ^ either), both))
+            low, high = low[starts], high[np.minimum(starts + fan_out, len(high)) - 1]
+            self.levels.append((~(both ^ either), both, low, high))
             if len(both) == 1:
                 break
         for k in range(len(self.levels) - 1):  # bits an upper group holds are counted there
-            mask, pattern = self.levels[k]
+            mask, *rest = self.levels[k]
             above = np.repeat(self.levels[k + 1][0], fan_out)[:len(mask)]
-            self.levels[k] = (mask & ~above, pattern)
+            self.levels[k] = (mask & ~above, *rest)
 
-    def search(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, code) positions within the distance."""
-        query, node = np.arange(len(queries), dtype=np.int32), np.zeros(len(queries), np.int32)
+    def search(self, queries: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, code) positions within the distance, each query in its own node."""
+        query, group = np.arange(len(queries), dtype=np.int32), np.zeros(len(queries), np.int32)
         apart = np.zeros(len(queries), np.uint8)
         for k in reversed(range(len(self.levels))):
-            mask, pattern = self.levels[k]
-            apart = apart + np.bitwise_count((queries[query] ^ pattern[node]) & mask[node])
-            near = apart <= distance
-            child = node[near][:, None] * self.fan_out + np.arange(self.fan_out, dtype=np.int32)
+            mask, pattern, low, high = self.levels[k]
+            apart = apart + np.bitwise_count((queries[query] ^ pattern[group]) & mask[group])
+            near = (apart <= distance) & (low[group] <= node[query]) & (node[query] <= high[group])
+            child = group[near][:, None] * self.fan_out + np.arange(self.fan_out, dtype=np.int32)
             inside = child < (len(self.levels[k - 1][0]) if k else len(self.codes))
             query, apart = (np.repeat(x[near], inside.sum(axis=1)) for x in (query, apart))
-            node = child[inside]
-        near = np.bitwise_count(queries[query] ^ self.codes[node]) <= distance
-        return query[near], node[near]
+            group = child[inside]
+        near = (np.bitwise_count(queries[query] ^ self.codes[group]) <= distance) & (self.node[group] == node[query])
+        return query[near], group[near]
 
 
 def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -133,26 +135,16 @@ def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
 
 
 def node_links(codes: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, least code it reaches) inside runs of equal node numbers."""
-    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    sizes = np.diff(np.r_[starts, len(node)])
-    run_size = np.repeat(sizes, sizes)
+    """Links (code, least code it reaches) inside equal node numbers, through one index of
+    all nodes, however many codes each has."""
+    order = np.lexsort((gray_rank(codes), node))
+    index = GrayIndex(codes[order], node[order])
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        small = np.flatnonzero(run_size <= SMALL_NODE)
-        for shift in range(1, int(sizes[sizes <= SMALL_NODE].max(initial=1))):
-            at = small[small + shift < len(codes)]
-            at = at[node[at] == node[at + shift]]
-            at = at[np.bitwise_count(codes[at] ^ codes[at + shift]) <= distance]
-            yield at, at + shift
-        for s, n in zip(starts[sizes > SMALL_NODE].tolist(), sizes[sizes > SMALL_NODE].tolist()):
-            order = np.argsort(gray_rank(codes[s:s + n]), kind="stable")
-            sorted_codes = codes[s:s + n][order]
-            index = GrayIndex(sorted_codes)
-            for i in range(0, n, QUERY_ROWS):
-                q, c = index.search(sorted_codes[i:i + QUERY_ROWS], distance)
-                later = c > q + i
-                yield s + order[q[later] + i], s + order[c[later]]
+        for i in range(0, len(codes), QUERY_ROWS):
+            q, c = index.search(index.codes[i:i + QUERY_ROWS], index.node[i:i + QUERY_ROWS], distance)
+            later = c > q + i
+            yield order[q[later] + i], order[c[later]]
 
     label = least_labels(len(codes), pairs())
     moved = label != np.arange(len(codes))

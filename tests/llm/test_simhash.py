@@ -7,9 +7,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cipherledger.llm import simhash
+from cipherledger.llm import registry, simhash
 from cipherledger.llm.components import connected_components
 
+SF = "/root/testdata/sf0.001"
+
 
 def slow_fingerprint(text):
     raw = (text or "").encode()
@@ -48,10 +50,29 @@ def test_fingerprints_match_the_rule():
 def test_gray_index_finds_all_pairs():
     rng = random.Random(5)
     codes = np.array(sorted(set(clustered(900, rng))), np.uint64)
-    codes = codes[np.argsort(simhash.gray_rank(codes))]
-    q, c = simhash.GrayIndex(codes).search(codes, 4)
-    want = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None]) <= 4)
-    assert sorted(zip(q.tolist(), c.tolist())) == [tuple(x) for x in want.tolist()]
+    for nodes in (np.zeros(len(codes), np.int64), np.array([rng.randrange(300) for _ in codes]), np.minimum(np.arange(len(codes)) // 2, 40)):
+        order = np.lexsort((simhash.gray_rank(codes), nodes))
+        sorted_codes, node = codes[order], nodes[order]
+        q, c = simhash.GrayIndex(sorted_codes, node).search(sorted_codes, node, 4)
+        want = np.argwhere((np.bitwise_count(sorted_codes[:, None] ^ sorted_codes[None]) <= 4) & (node[:, None] == node[None]))
+        assert sorted(zip(q.tolist(), c.tolist())) == [tuple(x) for x in want.tolist()]
+
+
+def test_links_of_small_nodes_come_through_the_index(monkeypatch):
+    searched = []
+    search = simhash.GrayIndex.search
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, q, n, d: searched.append(len(q)) or search(self, q, n, d))
+    codes, node = np.array([5, 4, 31 << 40, 9, 8], np.uint64), np.array([0, 0, 0, 1, 1])
+    a, b = simhash.node_links(codes, node, 4)
+    assert list(zip(a.tolist(), b.tolist())) == [(4, 5), (8, 9)] and sum(searched) == 5
+
+
+def test_registered_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in registry.QUERIES["op6_gray_simhash"](spark, SF).collect()}
+    ordered = sorted(docs, key=lambda r: r.doc_id)
+    codes = [slow_fingerprint(r.text) for r in ordered]
+    assert got == {r.doc_id: (codes[k], ordered[root].doc_id) for k, (r, root) in enumerate(zip(ordered, slow_components(codes)))}
 
 
 @pytest.mark.parametrize("node_rows", [4096, 24])
