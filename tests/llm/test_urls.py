@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from cipherledger.llm import urls
+from cipherledger.llm import registry, urls
+
+SF = "/root/testdata/sf0.001"
 
 
 def parts(url):
@@ -42,7 +44,7 @@ def test_verdicts(spark):
 
 
 def test_model_separates_unseen_urls(spark):
-    rows = [(f"http://{sub}.{h}.example.{t}/{p}", y) for h, y in (("cheap-casino", 1), ("pills-farm", 1), ("ads-spam", 1), ("gardens", 0), ("thether", 0), ("nations", 0))
+    rows = [(f"http://{sub}.{h}.example.{t}/{p}", y) for h, y in (("grand-casino", 1), ("pills-farm", 1), ("spam-ads", 1), ("gardens", 0), ("weatherman", 0), ("stationery", 0))
             for sub in ("www", "news") for t in ("org", "com") for p in ("en/771", "es/2.html", "fr/77/")]
     df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id int, url string, y int")
     out = urls.judge(df, urls.labelled_table(spark), rules=()).join(df.select("page_id", "y"), "page_id").collect()
@@ -52,3 +54,21 @@ def test_model_separates_unseen_urls(spark):
 def test_fit_without_both_labels(spark):
     weights, intercept = urls.fit(spark.createDataFrame([("http://a.org/", 1), (None, 0)], "url string, label int"))
     assert not any(weights) and intercept < 0
+
+
+def test_registered_query_on_hosts_outside_the_table(spark):
+    """Every page, by the rules where one fits; elsewhere hosts that say what they are."""
+    pages = registry.table(spark, SF, "pages").select("page_id", "url").collect()
+    got = {r.page_id: r for r in registry.QUERIES["op7_url_filter"](spark, SF).collect()}
+    assert len(got) == len(pages)
+    said, known = dict(urls.RULES), {parts(u)[0].split(".")[-3] for u, _ in urls.LABELLED}
+    right = []
+    for p in pages:
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule) == (*parts(p.url), rule(*parts(p.url)))
+        assert r.verdict == (said[r.rule] if r.rule else "block" if r.score >= .5 else "allow")
+        assert not {name for name in r.host.split(".")} & known
+        if not r.rule:
+            unwanted = any(w in r.host for w in ("casino", "pills", "spam", "ads", "adult"))
+            right.append((r.verdict == "block") == unwanted)
+    assert len(right) > 20 and sum(right) >= .9 * len(right)
