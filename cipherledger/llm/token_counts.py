@@ -48,7 +48,8 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """One row per occurring length: documents and tokens of that length, of that length or
-    longer, and the tokens that a limit of that length keeps of all documents.
+    longer, the tokens that a limit of that length keeps of all documents, and the share of
+    documents no longer than it; the first row whose share reaches q is the quantile q.
 
     Lengths are summed in spans, and spans among each other, so a window sees one span or
     one row per span. The exact counts are written once, since texts are read once.
@@ -58,34 +59,37 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     later = Window.partitionBy(F.lit(0)).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     spans = exact.groupBy("span").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t")).select(
         "span", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("later_docs"),
-        F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_tokens"), F.sum("t").over(Window.partitionBy(F.lit(0))).alias("total"))
+        F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_tokens"), F.sum("t").over(Window.partitionBy(F.lit(0))).alias("total"),
+        F.sum("d").over(Window.partitionBy(F.lit(0))).alias("total_docs"))
     here = Window.partitionBy("span").orderBy(F.desc("n_tokens"))
     up = exact.join(spans, "span").select(
-        "n_tokens", "docs", "tokens", "total",
+        "n_tokens", "docs", "tokens", "total", "total_docs",
         (F.sum("docs").over(here) + F.col("later_docs")).alias("docs_at_least"),
         (F.sum("tokens").over(here) + F.col("later_tokens")).alias("tokens_at_least"))
     return up.select("n_tokens", "docs", "tokens", "docs_at_least", "tokens_at_least",
-                     (F.col("total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"))
+                     (F.col("total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"),
+                     ((F.col("total_docs") - F.col("docs_at_least") + F.col("docs")) / F.col("total_docs")).alias("share_at_most"))
 
 
 def answer_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """For each (context_limit): documents over it and the tokens it keeps. Between two
-    lengths the sums of the next longer one hold, found over the spans' rows by an as-of
-    join on union order."""
+    lengths the sums of the next longer one hold. A window sees the lengths and limits of one
+    span, or one row per span for what later spans add."""
+    span = F.floor(F.col("n_tokens") / SPAN).alias("span")
     asked = limits.select(F.col("context_limit").cast("long").alias("n_tokens"), F.lit(1).alias("asked"))
-    rows = histogram.select("n_tokens", F.lit(0).alias("asked"), "docs_at_least", "tokens_at_least").unionByName(asked, allowMissingColumns=True)
-    longer = Window.partitionBy(F.lit(0)).orderBy(F.desc("n_tokens"), F.desc("asked")).rowsBetween(Window.unboundedPreceding, -1)
-    total = histogram.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    found = rows.withColumn("over", F.coalesce(F.last("docs_at_least", True).over(longer), F.lit(0))).withColumn(
-        "over_tokens", F.coalesce(F.last("tokens_at_least", True).over(longer), F.lit(0))).where("asked = 1")
-    return found.crossJoin(F.broadcast(total)).select(
-        F.col("n_tokens").alias("context_limit"), F.col("over").alias("docs_over"), "total",
-        (F.col("total") - F.col("over_tokens") + F.col("n_tokens") * F.col("over")).alias("truncated_total"))
+    rows = histogram.select("n_tokens", F.lit(0).alias("asked"), "docs", "tokens", "docs_at_least", "tokens_at_least").unionByName(asked, allowMissingColumns=True).select("*", span)
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("span").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("d"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
+    sums = sums.select("span", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("later_docs"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_tokens"),
+                       F.sum("t").over(Window.partitionBy(F.lit(0))).alias("total"))
+    longer = Window.partitionBy("span").orderBy(F.desc("n_tokens"), F.desc("asked")).rowsBetween(Window.unboundedPreceding, -1)
+    next_docs, next_tokens = (F.last(c, True).over(longer) for c in ("docs_at_least", "tokens_at_least"))
+    found = rows.select("span", "n_tokens", "asked", next_docs.alias("docs"), next_tokens.alias("tokens")).where("asked = 1").join(sums, "span")
+    over, tokens = F.coalesce("docs", "later_docs"), F.coalesce("tokens", "later_tokens")
+    return found.select(F.col("n_tokens").alias("context_limit"), over.alias("docs_over"), "total", (F.col("total") - tokens + F.col("n_tokens") * over).alias("truncated_total"))
 
 
 def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
     """One row: the smallest length that at least the share q of documents does not exceed;
     null for no documents."""
-    n = F.max("docs_at_least").over(Window.partitionBy(F.lit(0)))
-    below = F.col("n") - F.col("docs_at_least") + F.col("docs")
-    return histogram.withColumn("n", n).where(below >= F.ceil(F.lit(float(q)) * F.col("n"))).agg(F.min("n_tokens").alias("length"))
+    return histogram.where(F.col("share_at_most") >= float(q)).agg(F.min("n_tokens").alias("length"))

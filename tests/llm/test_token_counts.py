@@ -16,6 +16,7 @@ def test_histogram_answers_every_limit(spark):
     for r in hist.collect():
         longer = [n for n in lengths if n >= r.n_tokens]
         assert (r.docs, r.tokens, r.docs_at_least, r.tokens_at_least) == (lengths.count(r.n_tokens), r.n_tokens * lengths.count(r.n_tokens), len(longer), sum(longer))
+        assert r.share_at_most == sum(n <= r.n_tokens for n in lengths) / len(lengths)
         assert r.truncated_total == sum(min(n, r.n_tokens) for n in lengths)
     limits = [0, 1, 3, 4, 4095, 4096, 4097, 10**6]
     got = {r.context_limit: (r.docs_over, r.truncated_total) for r in t.answer_limits(hist, spark.createDataFrame([(x,) for x in limits], "context_limit int")).collect()}
