@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 LEAST, PERIODS = 6, 4
 #: The prime 7 * 2**20 + 1 and a primitive root: sums of 64 products stay below 2**53, so
 #: double-precision matrix products of transforms are exact.
@@ -236,12 +238,18 @@ def planted(key: Column, text: Column) -> Column:
     """The text with a periodic end in one of ten documents, as the query's contract has it:
     from word g % n on, words repeat with the period that g and n give."""
     h = F.crc32(key.cast("string").cast("binary"))
-    g, words = F.floor(h / 10), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    periodic = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
-    return F.when((h % 10 == 0) & F.coalesce(n > 0, F.lit(False)), periodic).otherwise(text)
+    g = F.floor(h / 10)
+
+    def periodic(words: Column) -> Column:
+        def rest(start: Column) -> Column:
+            period = (F.lit(1) + F.floor((F.size(words) - start["a"]) / (F.lit(3) + g % 8))).cast("int")
+            at = F.sequence(F.lit(0), F.size(words) - 1)
+            return let(period, lambda p: F.array_join(F.transform(at, lambda i: F.get(words, F.when(i < start["a"], i).otherwise(start["a"] + (i - start["a"]) % p))), " "))
+
+        return F.when(F.size(words) > 0, let(F.struct((g % F.size(words)).cast("int").alias("a")), rest)).otherwise(text)
+
+    # the words are bound, as a lambda would cut the text again for every word
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), periodic)).otherwise(text)
 
 
 def digests(collapsed: DataFrame, key: str = "doc_id") -> DataFrame:
