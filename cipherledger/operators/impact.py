@@ -24,7 +24,6 @@ KINDS = ("application", "service", "repository", "container", "file", "owner",
 PLURAL = {"application": "applications", "service": "services", "repository": "repositories",
           "container": "containers", "file": "files", "owner": "owners",
           "business-unit": "business_units", "business-function": "business_functions"}
-MAX_CHAIN = 8
 
 
 def with_places(assets: DataFrame) -> DataFrame:
@@ -243,8 +242,9 @@ def prerequisite_pairs(assets: DataFrame, asset_ids: list[str] | None = None) ->
             .select("asset_id", "prereq_id", "prereq_name", F.col("k.kind").alias("kind")))
 
 
-def critical_paths(pairs: DataFrame, focus: DataFrame, max_chain: int = MAX_CHAIN) -> DataFrame:
-    """Longest prerequisite chain ending at each focus asset, in execution order.
+def critical_paths(pairs: DataFrame, focus: DataFrame) -> DataFrame:
+    """Longest prerequisite chain ending at each focus asset, in execution order, along
+    explicit pairs; ``chains`` has lengths over all kinds without pairs or paths.
 
     One frontier join per step with the path carried as an array; a node already on the
     path is not entered again, so cycles end. Ties go to the smallest path.
@@ -252,12 +252,12 @@ def critical_paths(pairs: DataFrame, focus: DataFrame, max_chain: int = MAX_CHAI
     step = pairs.select(F.col("asset_id").alias("at"), F.col("prereq_id").alias("nxt")).distinct()
     paths = focus.select("asset_id", F.col("asset_id").alias("head"), F.array("asset_id").alias("path"))
     best = paths
-    for i in range(max_chain):
+    while True:
         paths = (paths.join(step, F.col("head") == F.col("at"))
                  .where(~F.array_contains("path", F.col("nxt")))
                  .select("asset_id", F.col("nxt").alias("head"),
                          F.concat(F.array("nxt"), "path").alias("path")))
-        paths = write_stage(paths, f"chain-{i}")
+        paths = write_stage(paths, "chain")
         if paths.isEmpty():
             break
         best = best.unionByName(paths)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, impact, roadmap
+from ..operators import chains, graph, impact, roadmap
 from . import oracle_base as o
 from .registry import register, scan, text
 
@@ -273,7 +273,7 @@ def owner_rollup(spark, sf) -> DataFrame:
 , pki AS (SELECT asset_id, prereq_id FROM pairs0 WHERE k = 1 AND asset_id <> prereq_id),
 walk AS (SELECT asset_id, asset_id AS head, [asset_id] AS path FROM g
   UNION ALL SELECT w.asset_id, p.prereq_id, list_prepend(p.prereq_id, w.path) FROM walk w JOIN pki p ON w.head = p.asset_id
-  WHERE len(w.path) <= 8 AND NOT list_contains(w.path, p.prereq_id)),
+  WHERE NOT list_contains(w.path, p.prereq_id)),
 best AS (SELECT asset_id, path, row_number() OVER (PARTITION BY asset_id ORDER BY len(path) DESC, array_to_string(path, '>')) AS n FROM walk)
 SELECT asset_id, CAST(len(path) AS INT) AS length, array_to_string(path, '>') AS path FROM best WHERE n = 1"""))
 def certificate_critical_path(spark, sf) -> DataFrame:
@@ -282,6 +282,30 @@ def certificate_critical_path(spark, sf) -> DataFrame:
     return paths.select("asset_id", "length", F.array_join("path", ">").alias("path"))
 
 
+@register("critical_path_steps", o.query(GATE_CTE, """
+, members AS MATERIALIZED (SELECT lib_node AS resource, asset_id FROM gate WHERE is_provider UNION ALL SELECT proto_node, asset_id FROM gate WHERE is_gate UNION ALL SELECT dst, holder_id FROM holder),
+sizes AS (SELECT resource, count(*) AS n FROM members GROUP BY 1),
+wanted AS (SELECT asset_id, lib_node AS resource FROM gate WHERE lib_node IS NOT NULL UNION ALL SELECT asset_id, dst FROM gate JOIN issued ON cert_node = src UNION ALL SELECT asset_id, proto_node FROM gate WHERE waits),
+waiting AS MATERIALIZED (SELECT w.asset_id, w.resource, m.asset_id IS NOT NULL AS own FROM wanted w JOIN sizes s USING (resource) LEFT JOIN members m ON w.resource = m.resource AND w.asset_id = m.asset_id
+  WHERE m.asset_id IS NULL OR s.n > 1),
+links0 AS MATERIALIZED (SELECT DISTINCT m.resource, w.resource AS nxt FROM members m JOIN waiting w USING (asset_id) WHERE m.resource <> w.resource),
+closure AS (SELECT resource, nxt FROM links0 UNION SELECT c.resource, l.nxt FROM closure c JOIN links0 l ON c.nxt = l.resource),
+loops AS (SELECT a.resource, max(greatest(a.nxt, a.resource)) AS step FROM closure a JOIN closure b ON a.resource = b.nxt AND a.nxt = b.resource WHERE a.resource <> a.nxt GROUP BY 1),
+steps AS MATERIALIZED (SELECT s.resource, coalesce(step, s.resource) AS step, step IS NOT NULL AS looped FROM sizes s LEFT JOIN loops USING (resource)),
+links AS MATERIALIZED (SELECT DISTINCT a.step, b.step AS next_step FROM links0 JOIN steps a USING (resource) JOIN steps b ON nxt = b.resource WHERE a.step <> b.step),
+d AS (SELECT step, 1 AS n, looped FROM steps UNION SELECT l.step, d.n + 1, d.looped FROM d JOIN links l ON l.next_step = d.step),
+depth AS MATERIALIZED (SELECT step, max(n) AS n, bool_or(looped) AS looped FROM d GROUP BY 1),
+ahead AS (SELECT l.step, min(next_step) AS next_step FROM links l JOIN depth a USING (step) JOIN depth b ON l.next_step = b.step WHERE a.n = b.n + 1 GROUP BY 1),
+own AS (SELECT asset_id, step, n AS length, next_step AS first_step, depth.looped FROM members JOIN steps USING (resource) JOIN depth USING (step) LEFT JOIN ahead USING (step)),
+other AS (SELECT asset_id, step, n + 1 AS length, step AS first_step, depth.looped FROM waiting JOIN steps USING (resource) JOIN depth USING (step) WHERE NOT own AND (asset_id, step) NOT IN (SELECT (asset_id, step) FROM own)),
+best AS (SELECT asset_id, max(length) AS length, bool_or(looped) AS cyclic, first(first_step ORDER BY length DESC, coalesce(first_step, '')) AS first_step FROM (SELECT * FROM own UNION ALL SELECT * FROM other) GROUP BY 1)
+SELECT g.asset_id, CAST(coalesce(length, 1) AS INT) AS length, first_step, coalesce(cyclic, false) AS cyclic FROM gate g LEFT JOIN best USING (asset_id)"""))
+def critical_path_steps(spark, sf) -> DataFrame:
+    """Length of the longest prerequisite chain of every asset, over all three kinds."""
+    a = impact.with_gates(impact.with_places(scan(spark, sf).decided))
+    return chains.critical_lengths(a)[0]
+
+
 # --- roadmap -----------------------------------------------------------------------------
 @register("roadmap_placement", o.query(ITEMS_CTE, "SELECT asset_id, placed_phase FROM items"))
 def roadmap_placement(spark, sf) -> DataFrame:
