@@ -51,14 +51,31 @@ def placement() -> Column:
         otherwise=out("PH5", "other"))
 
 
+def issuer_jumps(pairs: DataFrame, live: DataFrame) -> list[DataFrame]:
+    """(asset_id, prereq_id) 1, 2, 4, ... steps apart along issuers that are live items. A
+    chain of n issuers has log2(n) tables; a cycle ends with the number of issuers."""
+    ids = live.where("is_issuer").select("asset_id")
+    step = pairs.select("asset_id", "prereq_id").join(ids, "asset_id", "left_semi").join(ids.select(F.col("asset_id").alias("prereq_id")), "prereq_id", "left_semi")
+    jump = write_stage(step.select("asset_id", "prereq_id").distinct(), "hoist-jump")
+    out, most = [], ids.count().bit_length()
+    while not jump.isEmpty():
+        out.append(jump)
+        if len(out) >= most:
+            break
+        ahead = jump.select(F.col("asset_id").alias("prereq_id"), F.col("prereq_id").alias("further"))
+        jump = write_stage(jump.join(ahead, "prereq_id").select("asset_id", F.col("further").alias("prereq_id")).distinct(), "hoist-jump")
+    return out
+
+
 def hoist(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(asset_id, hoisted phase number): a blocker inherits the earliest implementation
     phase of anything it blocks, to the fixpoint. PH1 is exempt on both sides. Phases only
-    fall, so the rounds end however deep the chains are.
+    fall, so the rounds end.
 
     Minima are taken per library, protocol and issuer, never over pairs. Only gating
     items can move, so the other items are reduced to their minima once and each round
-    works on the gating ones alone.
+    works on the gating ones alone. Along issuers a round climbs by doubled steps, so a
+    chain of any depth takes as many joins as its depth has bits.
     """
     live = items.where("phase <> 'PH1'").select(
         "asset_id", "library_node", "protocol_node", "is_provider", "is_gate", "waits",
@@ -67,6 +84,7 @@ def hoist(items: DataFrame, pairs: DataFrame) -> DataFrame:
     live = live.join(issuers, "asset_id", "left").withColumn("is_issuer", F.coalesce("is_issuer", F.lit(False)))
     live = write_stage(live.withColumn("moves", F.expr("is_provider OR is_gate OR is_issuer")), "hoist-items")
     fixed, state = live.where("NOT moves"), live.where("moves")
+    jumps = issuer_jumps(pairs, live)
 
     def minima(df):
         libs = df.where("library_node IS NOT NULL").groupBy("library_node").agg(F.min("n").alias("lib_n"))
@@ -76,8 +94,8 @@ def hoist(items: DataFrame, pairs: DataFrame) -> DataFrame:
         return libs, protos, issued
 
     static = [write_stage(m, "hoist-min") for m in minima(fixed)]
-    before, moved = None, True
-    while moved:
+    before = live
+    while True:
         libs, protos, issued = [
             s.unionByName(m).groupBy(s.columns[0]).agg(F.min(s.columns[1]).alias(s.columns[1]))
             for s, m in zip(static, minima(state))]
@@ -86,11 +104,20 @@ def hoist(items: DataFrame, pairs: DataFrame) -> DataFrame:
                .join(issued.withColumnRenamed("prereq_id", "asset_id"), "asset_id", "left"))
         best = F.least("n", F.when(F.col("is_provider"), F.col("lib_n")),
                        F.when(F.col("is_gate"), F.col("proto_n")), F.col("pki_n"))
-        nxt = write_stage(nxt.select(*[c for c in state.columns if c != "n"], best.alias("n"),
-                                     (best < F.col("n")).alias("moved")), "hoist-round")
-        moved = not nxt.where("moved").isEmpty()
-        drop_stage(*[b for b in [before] if b is not None])
-        before, state = nxt, nxt.drop("moved")
+        columns = [c for c in state.columns if c != "n"]
+        after = write_stage(nxt.select(*columns, best.alias("n"), (best < F.col("n")).alias("moved")), "hoist-round")
+        moved = not after.where("moved").isEmpty()
+        drop_stage(before)
+        before, state = after, after.drop("moved")
+        if not moved:
+            break
+        for jump in jumps:
+            low = jump.join(state.select("asset_id", "n"), "asset_id").groupBy("prereq_id").agg(F.min("n").alias("low"))
+            climbed = state.join(low.withColumnRenamed("prereq_id", "asset_id"), "asset_id", "left")
+            after = write_stage(climbed.select(*columns, F.least("n", "low").alias("n")), "hoist-climb")
+            drop_stage(before)
+            before = state = after
+    drop_stage(*jumps, *static)
     return state.select("asset_id", F.col("n").alias("hoisted"))
 
 
