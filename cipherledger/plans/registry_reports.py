@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import guard_keys, lookup, redact
+from ..functions.columns import GUARD_MARKER, guard_keys, lookup, redact
 from ..knowledge import policy as pol
 from ..operators import cbom, governance, inventory, risk, roadmap, rollups
 from ..sources import driver_tables as dt
@@ -256,12 +256,27 @@ def bom_counts(spark, sf) -> DataFrame:
     return cbom.counts(cbom.asset_components(s.decided), s.evidence)
 
 
-@register("bom_violations", "SELECT '' AS ref, '' AS rule, '' AS path WHERE false")
+# Faults are planted by the last digit of an asset's id: no name, an unknown type, a repeated
+# reference, a foreign property, and an edge to nothing.
+@register("bom_violations", o.query(D, """
+, digit AS (SELECT asset_id AS ref, right(asset_id, 1) AS d FROM decided)
+SELECT ref, 'required' AS rule, 'name' AS path FROM digit WHERE d = '0' UNION ALL SELECT ref, 'enum', 'type' FROM digit WHERE d = '1'
+UNION ALL SELECT ref, 'unique', 'bom-ref' FROM digit WHERE d = '2' UNION ALL SELECT ref, 'pattern', 'properties.name' FROM digit WHERE d = '3'
+UNION ALL SELECT 'missing:' || ref, 'reference', 'dependencies.target' FROM digit WHERE d = '4'"""))
 def bom_violations(spark, sf) -> DataFrame:
+    """Rule breaches of the whole bill of materials, into which faults are put."""
     s = scan(spark, sf)
     refs = s.estate.applications.select("app_id").unionByName(
         s.estate.applications.agg(F.lit("estate").alias("app_id")))
-    return cbom.violations(cbom.asset_components(s.decided), cbom.dependency_edges(s.decided, s.estate), refs)
+    digit = F.substring("bom_ref", -1, 1)
+    parts = cbom.asset_components(s.decided)
+    foreign = F.array(F.struct(F.lit("elsewhere:note").alias("name"), F.lit("x").alias("value")))
+    parts = parts.withColumns({"name": F.when(digit != "0", F.col("name")), "type": F.when(digit == "1", "gadget").otherwise(F.col("type")),
+                               "properties": F.when(digit == "3", F.concat("properties", foreign)).otherwise(F.col("properties"))})
+    parts = parts.unionByName(parts.where(digit == "2"))
+    edges = cbom.dependency_edges(s.decided, s.estate)
+    lost = s.decided.where(F.substring("asset_id", -1, 1) == "4").select(F.col("asset_id").alias("ref"), F.lit("dependsOn").alias("relation"), F.concat(F.lit("missing:"), "asset_id").alias("target"))
+    return cbom.violations(parts, edges.select("ref", "relation", "target").unionByName(lost), refs)
 
 
 # --- sinks -------------------------------------------------------------------------------
@@ -290,12 +305,23 @@ def impact_csv_table(spark, sf) -> DataFrame:
         "unblocks", "own_effort_months", "blast_radius")
 
 
-@register("redacted_asset_json", o.query(D, "SELECT asset_id, asset_name, migration_decision, false AS leaks FROM decided"))
+PLANTED_KEY = "-----BEGIN PRIVATE KEY-----\\nQUJD\\n-----END PRIVATE KEY-----"
+
+
+@register("redacted_asset_json", o.query(D, """
+, items AS (SELECT asset_id, count(*) AS evidence, count(*) FILTER (WHERE length(k.matched) % 3 = 0) AS guarded FROM keyed k JOIN assets a ON k.gkey = a.gkey GROUP BY 1)
+SELECT asset_id, asset_name, migration_decision, coalesce(evidence, 0) AS evidence, coalesce(guarded, 0) AS guarded, false AS leaks FROM decided LEFT JOIN items USING (asset_id)"""))
 def redacted_asset_json(spark, sf) -> DataFrame:
-    j = export.redacted_json(scan(spark, sf).decided)
+    """Assets as JSON with their evidence; a private key is put behind some matches, which
+    the sink has to take out, and no snippet may be there."""
+    s = scan(spark, sf)
+    planted = F.when(F.length("matched") % 3 == 0, F.concat("matched", F.lit(PLANTED_KEY))).otherwise(F.col("matched"))
+    j = export.redacted_json(s.decided, s.evidence.withColumn("matched", planted))
+    marks = (F.length("json") - F.length(F.replace("json", F.lit(GUARD_MARKER), F.lit("")))) / len(GUARD_MARKER)
     return j.select("asset_id", F.get_json_object("json", "$.asset_name").alias("asset_name"),
                     F.get_json_object("json", "$.migration_decision").alias("migration_decision"),
-                    F.contains("json", F.lit('"snippet"')).alias("leaks"))
+                    F.coalesce(F.json_array_length(F.get_json_object("json", "$.evidence")), F.lit(0)).cast("bigint").alias("evidence"), marks.cast("bigint").alias("guarded"),
+                    (F.contains("json", F.lit('"snippet"')) | F.contains("json", F.lit("PRIVATE KEY---"))).alias("leaks"))
 
 
 MARKED = " OR ".join(f"contains(upper(text), '{m}')" for m in o.PRIVATE_KEY_MARKERS)
@@ -305,24 +331,18 @@ MARKED = " OR ".join(f"contains(upper(text), '{m}')" for m in o.PRIVATE_KEY_MARK
 WITH toks AS (SELECT doc_id, regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g') AS s, {MARKED} AS unsafe FROM documents),
 cut AS (SELECT doc_id, s, unsafe, list_distinct(list_filter(list_transform(regexp_split_to_array(s, '\\s+'), lambda t: regexp_replace(t, '^[''"`,;()\\[\\]{{}}]+|[''"`,;()\\[\\]{{}}]+$', '', 'g')),
   lambda t: regexp_full_match(t, '[\\p{{L}}\\p{{N}}+/=]{{40,}}'))) AS secrets FROM toks)
-SELECT doc_id, unsafe AS private_key, CAST(len(secrets) AS INT) AS secrets, CAST(coalesce(list_sum(list_transform(secrets, lambda t: length(t))), 0) AS BIGINT) AS secret_chars FROM cut""")
+SELECT doc_id, sha256(CASE WHEN unsafe THEN '[REDACTED: private key material detected]' ELSE substr(list_reduce(list_prepend(s, secrets), lambda acc, t: replace(acc, t, '[REDACTED:' || length(t) || 'B]')), 1, 180) END) AS redacted_sha256 FROM cut""")
 def redacted_documents(spark, sf) -> DataFrame:
-    """What redaction removes from whole documents, checked through the masked text."""
-    docs = dt.table(spark, sf, "documents")
-    masked = redact(F.col("text"))
-    strip = r"^['\"`,;()\[\]{}]+|['\"`,;()\[\]{}]+$"
-    tokens = F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+"), lambda t: F.regexp_replace(t, strip, "")),
-                                       lambda t: t.rlike(r"^[\p{L}\p{N}+/=]{40,}$")))
-    return docs.select("doc_id", (masked == "[REDACTED: private key material detected]").alias("private_key"),
-                       F.size(tokens).alias("secrets"),
-                       F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("secret_chars"))
+    """Digest of what redaction leaves of every document."""
+    return dt.table(spark, sf, "documents").select("doc_id", F.sha2(redact(F.col("text")).cast("binary"), 256).alias("redacted_sha256"))
 
 
 @register("guarded_documents", """
-SELECT doc_id, length(regexp_replace(regexp_replace(text, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '[REDACTED: private key material]', 'g'),
-  '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s\\\\.-]*', '[REDACTED: private key material]', 'g'))::INT AS guarded_length FROM documents""")
+SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '[REDACTED: private key material]', 'g'),
+  '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s\\\\.-]*', '[REDACTED: private key material]', 'g')) AS guarded_sha256 FROM documents""")
 def guarded_documents(spark, sf) -> DataFrame:
-    return dt.table(spark, sf, "documents").select("doc_id", F.length(guard_keys(F.col("text"))).alias("guarded_length"))
+    """Digest of every document behind the guard of string sinks."""
+    return dt.table(spark, sf, "documents").select("doc_id", F.sha2(guard_keys(F.col("text")).cast("binary"), 256).alias("guarded_sha256"))
 
 
 # --- governance --------------------------------------------------------------------------
