@@ -375,6 +375,14 @@ ov AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'purchase' THEN 'migra
 target AS (SELECT ov.*, asset_id FROM ov JOIN risk ON p_c_serial = 'o' || user_id)"""
 
 
+def edits(spark, sf, assets) -> DataFrame:
+    field = F.when(F.col("event_type") == "purchase", "migration_effort").when(F.col("event_type") == "error", "exposure").otherwise("owner")
+    value = F.when(F.col("event_type") == "purchase", "very-high").when(F.col("event_type") == "error", "isolated").otherwise(F.concat(F.lit("user-"), "user_id"))
+    by_user = dt.table(spark, sf, "events").select("event_id", "ts", F.concat(F.lit("o"), "user_id").alias("serial"), field.alias("field"), value.alias("value"))
+    held = assets.where("certificate_serial IS NOT NULL").select("asset_id", F.col("certificate_serial").alias("serial"))
+    return by_user.join(held, "serial").drop("serial")
+
+
 @register("field_overrides", o.query(o.RISK_CTE, OVERRIDE_SQL + """,
 latest AS (SELECT asset_id, last(value ORDER BY ts, event_id) FILTER (WHERE field = 'migration_effort') AS e, last(value ORDER BY ts, event_id) FILTER (WHERE field = 'exposure') AS x,
   last(value ORDER BY ts, event_id) FILTER (WHERE field = 'owner') AS w FROM target GROUP BY 1)
@@ -383,11 +391,15 @@ FROM risk LEFT JOIN latest USING (asset_id)""".replace("CASE WHEN latest.asset_i
 def field_overrides(spark, sf) -> DataFrame:
     """Events as overrides: a user edits the assets of the certificate with its number."""
     s = scan(spark, sf)
-    field = F.when(F.col("event_type") == "purchase", "migration_effort").when(F.col("event_type") == "error", "exposure").otherwise("owner")
-    value = F.when(F.col("event_type") == "purchase", "very-high").when(F.col("event_type") == "error", "isolated").otherwise(F.concat(F.lit("user-"), "user_id"))
-    edits = dt.table(spark, sf, "events").select("event_id", "ts", F.concat(F.lit("o"), "user_id").alias("serial"),
-                                                 field.alias("field"), value.alias("value"))
-    held = s.assets.where("certificate_serial IS NOT NULL").select("asset_id", F.col("certificate_serial").alias("serial"))
-    a = governance.apply_overrides(s.assets, edits.join(held, "serial").drop("serial"))
+    a = governance.apply_overrides(s.assets, edits(spark, sf, s.assets))
     a = risk.assess(risk.with_policy(a, s.policy))
     return a.select("asset_id", "migration_effort", "exposure", "owner", "context_source")
+
+
+@register("override_audit", o.query(o.RISK_CTE, OVERRIDE_SQL + """
+SELECT event_id, asset_id, field, value, coalesce(lag(value) OVER (PARTITION BY asset_id, field ORDER BY ts, event_id),
+  CASE field WHEN 'migration_effort' THEN migration_effort WHEN 'exposure' THEN exposure ELSE owner END) AS previous FROM target JOIN risk USING (asset_id)"""))
+def override_audit(spark, sf) -> DataFrame:
+    """Every override with the value it replaced."""
+    s = scan(spark, sf)
+    return governance.override_audit(edits(spark, sf, s.assets), s.assessed).select("event_id", "asset_id", "field", "value", "previous")
