@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import GUARD_MARKER, guard_keys, lookup, redact
 from ..knowledge import policy as pol
 from ..operators import cbom, governance, inventory, risk, roadmap, rollups
+from ..session import stage_folder
 from ..sources import driver_tables as dt
 from ..sources import export
 from . import oracle_base as o
@@ -123,9 +124,24 @@ def inventory_filtered_page(spark, sf) -> DataFrame:
 
 
 @register("inventory_by_risk", o.query(D, """
-SELECT asset_id, asset_name, risk_score FROM decided WHERE cryptographic_role = 'encryption' AND kb_family = 'AES' ORDER BY risk_score DESC, asset_name, asset_id LIMIT 1000"""))
+SELECT asset_id, asset_name, risk_score FROM decided WHERE cryptographic_role = 'encryption' AND kb_family = 'AES'"""))
 def inventory_by_risk(spark, sf) -> DataFrame:
-    return inventory.page(scan(spark, sf).decided, {"family": "aes", "role": "encryption"}, sort="risk", limit=1000).select("asset_id", "asset_name", "risk_score")
+    """The whole selection in its order."""
+    chosen = inventory.select_assets(scan(spark, sf).decided, {"family": "aes", "role": "encryption"})
+    return inventory.sort_assets(chosen, "risk").select("asset_id", "asset_name", "risk_score")
+
+
+@register("inventory_served_page", o.query(D, """
+SELECT asset_id, asset_name, migration_priority FROM decided WHERE quantum_exposure = 'critical' AND owner IS NOT NULL AND (lower(asset_name) LIKE '%rsa%' OR lower(kb_name) LIKE '%rsa%' OR lower(p_file) LIKE '%rsa%')
+ORDER BY migration_priority DESC, asset_name, asset_id LIMIT 100 OFFSET 200"""))
+def inventory_served_page(spark, sf) -> DataFrame:
+    """The third page of a selection on the served layout, reached by two cursors."""
+    decided = scan(spark, sf).decided.where("owner IS NOT NULL")
+    served = inventory.serve(decided, stage_folder(spark, "inventory"))
+    after = None
+    for _ in range(2):
+        after = inventory.cursor(inventory.served_page(served, {"quantum_exposure": "Critical"}, "RSA", after)) or after
+    return inventory.served_page(served, {"quantum_exposure": "Critical"}, "RSA", after).select("asset_id", "asset_name", "migration_priority")
 
 
 @register("inventory_page_header", o.query(D, """
