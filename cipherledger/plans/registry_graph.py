@@ -282,6 +282,26 @@ def certificate_critical_path(spark, sf) -> DataFrame:
     return paths.select("asset_id", "length", F.array_join("path", ">").alias("path"))
 
 
+GATES_CTE = GATE_CTE + """,
+gates AS MATERIALIZED (SELECT lib_node AS resource, asset_id, asset_name, 'provider' AS kind FROM gate WHERE is_provider UNION ALL SELECT proto_node, asset_id, asset_name, 'protocol' FROM gate WHERE is_gate
+  UNION ALL SELECT dst, holder_id, asset_name, 'pki' FROM holder JOIN gate ON asset_id = holder_id)"""
+
+
+@register("prerequisite_users", o.query(GATES_CTE, """
+, wanted AS (SELECT asset_id, lib_node AS resource, 'provider' AS kind FROM gate WHERE lib_node IS NOT NULL UNION ALL SELECT asset_id, dst, 'pki' FROM gate JOIN issued ON cert_node = src
+  UNION ALL SELECT asset_id, proto_node, 'protocol' FROM gate WHERE waits)
+SELECT asset_id, resource, kind FROM wanted WHERE resource IN (SELECT resource FROM gates)"""))
+def prerequisite_users(spark, sf) -> DataFrame:
+    """Which assets wait for which library, issuer or protocol."""
+    return chains.prerequisite_tables(impact.with_gates(impact.with_places(scan(spark, sf).decided)))[0]
+
+
+@register("prerequisite_gates", o.query(GATES_CTE, "SELECT resource, asset_id AS prereq_id, asset_name AS prereq_name, kind FROM gates"))
+def prerequisite_gates(spark, sf) -> DataFrame:
+    """Which assets, by name, gate a library, issuer or protocol."""
+    return chains.prerequisite_tables(impact.with_gates(impact.with_places(scan(spark, sf).decided)))[1]
+
+
 @register("critical_path_steps", o.query(GATE_CTE, """
 , members AS MATERIALIZED (SELECT lib_node AS resource, asset_id FROM gate WHERE is_provider UNION ALL SELECT proto_node, asset_id FROM gate WHERE is_gate UNION ALL SELECT dst, holder_id FROM holder),
 sizes AS (SELECT resource, count(*) AS n FROM members GROUP BY 1),
