@@ -4,13 +4,13 @@ Bigrams are ordered from rare to frequent. A word's prefix is its three rarest b
 every place of the last of them), and its pivots are two of these that do not overlap, chosen
 by dynamic programming so that the fewest words have them. One edit destroys at most one of
 two disjoint bigrams; so of two words one edit apart, the one whose prefix ends earlier in
-the order has a pivot that the other word's prefix holds. The edit also limits where: it
-stands at the same place, or one further or less if the lengths differ likewise. These pairs
-are verified by edit distance.
+the order has a pivot that the other word's prefix holds. The edit also limits where: if it
+comes behind the pivot, this stands at the same place, else at the same distance from the
+end, and the words agree up to it or from it on. These pairs are verified by edit distance.
 
-Pivots and prefixes are joined on (bigram, place, length), so a frequent bigram is dealt to
-many keys, and adaptive execution splits what is still skewed. Bigrams are broadcast; their
-number is bounded by the letters of the pattern (90 * 90).
+Pivots and prefixes are joined on what they agree in, the bigram included, and on the length,
+so a frequent bigram is dealt to as many keys as words have beginnings and ends. Bigrams are
+broadcast; their number is bounded by the letters of the pattern (90 * 90).
 
 Defined cases: null and empty texts have no words; a null key counts as empty text in the
 hash; repeated rows count each; other columns are not read; ties between forms go to the
@@ -96,13 +96,16 @@ def signatures(words: DataFrame) -> DataFrame:
 
 def near_pairs(signed: DataFrame) -> DataFrame:
     """Distinct (word, near) with edit distance one, in both directions."""
-    pivot = signed.select("word", "length", "last", F.explode("pivots").alias("g"))
-    # an edit behind the gram leaves its place, one before it moves it by the difference of lengths
-    moves = F.array(*[F.struct(F.lit(x).alias("longer"), F.lit(y).alias("moved")) for x, y in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-    asked = pivot.withColumn("m", F.explode(moves)).select(
-        F.col("word").alias("a"), F.col("last").alias("last_a"), F.col("g.gram").alias("gram"), (F.col("g.at") + F.col("m.moved")).alias("at"), (F.col("length") + F.col("m.longer")).alias("length"))
-    index = signed.select(F.col("word").alias("b"), F.col("last").alias("last_b"), "length", F.explode("prefix").alias("g")).select("b", "last_b", "length", "g.gram", "g.at")
-    found = (asked.join(index, ["gram", "at", "length"]).where("a <> b AND last_a <= last_b")
+    # behind the edit or before it the words agree: up to the gram, or from it on
+    sides = lambda word, at: F.array(
+        F.struct(F.lit(0).alias("side"), F.substring(word, F.lit(1), at + 1).alias("same")),
+        F.struct(F.lit(1).alias("side"), F.substring(word, at, F.length(word)).alias("same")))
+    asked = signed.select(F.col("word").alias("a"), F.col("last").alias("last_a"), "length", F.explode("pivots").alias("g"))
+    asked = asked.select("a", "last_a", "length", F.explode(sides(F.col("a"), F.col("g.at"))).alias("s")).select(
+        "a", "last_a", "s.side", "s.same", F.explode(F.array(*[F.col("length") + longer for longer in (0, 1, -1)])).alias("length"))
+    index = signed.select(F.col("word").alias("b"), F.col("last").alias("last_b"), "length", F.explode("prefix").alias("g"))
+    index = index.select("b", "last_b", "length", F.explode(sides(F.col("b"), F.col("g.at"))).alias("s")).select("b", "last_b", "length", "s.side", "s.same")
+    found = (asked.join(index, ["side", "same", "length"]).where("a <> b AND last_a <= last_b")
              .where(F.levenshtein("a", "b", 1) == 1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return found.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(found.select(F.col("b").alias("word"), F.col("a").alias("near")))
 
