@@ -85,23 +85,3 @@ PHASES = [
 # Default planning horizons for a scenario sweep.
 CRQC_YEARS = (2030, 2035, 2040, 2045, 2050)
 DEFAULT_CRQC_YEAR = 2035
-
-# Citation key, title, publisher, url.
-CITATIONS = [
-    ("FIPS203", "FIPS 203: Module-Lattice-Based Key-Encapsulation Mechanism Standard", "NIST", "https://csrc.nist.gov/pubs/fips/203/final"),
-    ("FIPS204", "FIPS 204: Module-Lattice-Based Digital Signature Standard", "NIST", "https://csrc.nist.gov/pubs/fips/204/final"),
-    ("FIPS205", "FIPS 205: Stateless Hash-Based Digital Signature Standard", "NIST", "https://csrc.nist.gov/pubs/fips/205/final"),
-    ("IR8547", "NIST IR 8547: Transition to Post-Quantum Cryptography Standards", "NIST", "https://csrc.nist.gov/pubs/ir/8547/ipd"),
-    ("IR8545", "NIST IR 8545: Status Report on the Fourth Round of the NIST PQC Standardization Process", "NIST", "https://csrc.nist.gov/pubs/ir/8545/final"),
-    ("NISTPQC", "NIST Post-Quantum Cryptography Project", "NIST", "https://csrc.nist.gov/projects/post-quantum-cryptography"),
-    ("SP80057", "SP 800-57 Part 1 Rev. 5: Recommendation for Key Management", "NIST", "https://csrc.nist.gov/pubs/sp/800/57/pt1/r5/final"),
-    ("SP800131A", "SP 800-131A Rev. 2: Transitioning the Use of Cryptographic Algorithms and Key Lengths", "NIST", "https://csrc.nist.gov/pubs/sp/800/131/a/r2/final"),
-    ("RFC10024", "RFC 10024: Post-Quantum Hybrid ECDHE-MLKEM Key Agreement for TLS 1.3", "IETF", "https://datatracker.ietf.org/doc/rfc10024/"),
-    ("RFC9954", "RFC 9954: Hybrid Key Exchange in TLS 1.3", "IETF", "https://datatracker.ietf.org/doc/rfc9954/"),
-    ("CYCLONEDX", "CycloneDX v1.6 Specification (CBOM)", "OWASP / Ecma International", "https://cyclonedx.org/capabilities/cbom/"),
-    ("CISA_QR", "Quantum-Readiness: Migration to Post-Quantum Cryptography", "CISA / NSA / NIST", "https://www.cisa.gov/resources-tools/resources/quantum-readiness-migration-post-quantum-cryptography"),
-    ("NSA_CNSA2", "CNSA 2.0 Suite", "NSA", "https://www.nsa.gov/Press-Room/Press-Releases-Statements/Press-Release-View/Article/3148990/"),
-    ("NCCOE", "Crypto agility considerations: cryptographic discovery", "NIST/NCCoE", "https://www.nccoe.nist.gov/crypto-agility-considerations-migrating-post-quantum-cryptographic-algorithms"),
-    ("RFC7465", "RFC 7465: Prohibiting RC4 Cipher Suites", "IETF", "https://www.rfc-editor.org/rfc/rfc7465"),
-    ("SP800208", "SP 800-208: Recommendation for Stateful Hash-Based Signature Schemes", "NIST", "https://csrc.nist.gov/pubs/sp/800/208/final"),
-]
