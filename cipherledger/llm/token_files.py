@@ -15,9 +15,7 @@ Tasks write files under new names and report them; the manifest names the files
 attempts that were committed, so what a lost or repeated attempt leaves is never read. The
 folder may be on any file system pyarrow reaches by its address.
 
-A text is cut at ASCII white space before it goes to the library, and cuts are remembered.
-That gives the ids of the whole text for a tokenizer whose pieces never contain white space
-(``cuts=True``); for any other one ``cuts=False`` hands over whole texts.
+Texts are encoded by ``word_ids``, which hands a word to the library once.
 
 Defined cases: null and empty texts have only the end id; rows with a null key come first
 and keep a null key; rows that repeat a key stand next to each other in any order; other
@@ -26,7 +24,6 @@ columns are not read; an empty table gives no file and an empty result.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -39,48 +36,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_stage, write_stage
+from .word_ids import Encoder
 
 #: Ids in a file at least, but for the last of a task; rows in a task's range.
-FILE_IDS, RANGE_ROWS = 1 << 24, 1 << 17
-#: Remembered cuts and the longest of them in bytes; ids coded at once.
-CUTS, CUT_BYTES, STEP = 300_000, 48, 1 << 20
+FILE_IDS, RANGE_ROWS = 1 << 24, 1 << 15
+#: Ids coded at once.
+STEP = 1 << 18
 MAGIC = b"TOKVB001"
 HEAD = struct.Struct("<8s4Q")
 
 
-class Encoder:
-    """Ids of texts as bytes of 32-bit numbers, through the library."""
-
-    def __init__(self, tokenizer_json: str, end: int, cuts: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
-        from tokenizers import Tokenizer
-        self.library, self.end, self.cuts = Tokenizer.from_str(tokenizer_json), np.uint32(end).tobytes(), cuts
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        if not self.cuts:
-            return self._ids([text])[0] + self.end if text else self.end
-        parts = (text or "").encode().split()
-        new = list({p for p in parts if p not in self.known})
-        if new:
-            fresh = dict(zip(new, self._ids([p.decode() for p in new])))
-            if len(self.known) + len(fresh) > CUTS:
-                self.known.clear()
-                known = fresh | {p: i for p, i in zip(parts, self._ids([p.decode() for p in parts])) if p not in fresh}
-            else:
-                known = self.known
-                known.update(fresh)
-            out = b"".join([known[p] for p in parts]) + self.end
-            for p in new:
-                if len(p) > CUT_BYTES or known is not self.known:
-                    known.pop(p, None)
-            return out
-        return b"".join([self.known[p] for p in parts]) + self.end
-
-
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -120,16 +85,40 @@ def decode(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     return (data[first[:, None] + place[control]] * used[control]).view("<u4").reshape(-1)
 
 
-def pack(keys: list[int | None], ids: list[bytes], rank: np.ndarray) -> bytes:
-    """A file's bytes; ``rank`` has the rank of each id."""
-    lengths = np.array([len(i) // 4 for i in ids], "<u8")
-    ranks = rank[np.frombuffer(b"".join(ids), "<u4")]
-    n = len(ranks)
-    ranks = np.r_[ranks, np.zeros(-n % 4, ranks.dtype)]
-    parts = [code(ranks[i:i + STEP]) for i in range(0, len(ranks), STEP)]
-    control, data = (b"".join(p[k] for p in parts) for k in (0, 1))
-    return b"".join((HEAD.pack(MAGIC, len(keys), n, len(control), len(data)), np.array([k or 0 for k in keys], "<i8").tobytes(),
-                     np.array([k is None for k in keys], np.uint8).tobytes(), lengths.tobytes(), control, data))
+class FileParts:
+    """The bytes of a file that grows by documents; ids are coded as soon as there are enough."""
+
+    def __init__(self, rank: np.ndarray):
+        self.rank, self.keys, self.lengths = rank, [], []
+        self.control, self.data, self.rest, self.held = [], [], [], 0
+
+    @property
+    def ids(self) -> int:
+        return sum(self.lengths)
+
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        self.keys.append(key)
+        self.lengths.append(len(ids))
+        for i in range(0, len(ids), STEP):
+            self.rest.append(self.rank[ids[i:i + STEP]])
+            self.held += len(self.rest[-1])
+            if self.held >= STEP:
+                self._code(self.held % 4)
+
+    def _code(self, left: int) -> None:
+        ranks = np.concatenate(self.rest)
+        control, data = code(ranks[:len(ranks) - left])
+        self.control.append(control)
+        self.data.append(data)
+        self.rest, self.held = [ranks[len(ranks) - left:]], left
+
+    def close(self) -> list[bytes]:
+        self.rest.append(np.zeros(-self.held % 4, self.rank.dtype))
+        self.held += len(self.rest[-1])
+        self._code(0)
+        head = HEAD.pack(MAGIC, len(self.keys), self.ids, sum(map(len, self.control)), sum(map(len, self.data)))
+        return [head, np.array([k or 0 for k in self.keys], "<i8").tobytes(), np.array([k is None for k in self.keys], np.uint8).tobytes(),
+                np.array(self.lengths, "<u8").tobytes(), *self.control, *self.data]
 
 
 def unpack(content: bytes, id_of: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -163,9 +152,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end: int, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_json, end, cuts)
         for b in batches:
-            for s in range(0, b.num_rows, 256):  # a part of a batch at a time, as texts may be long
-                part = b.slice(s, 256)
-                ids = (np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(width).tobytes() for t in part.column(1))
+            for s in range(0, b.num_rows, 512):  # a part of a batch at a time, as texts may be long
+                part = b.slice(s, 512)
+                ids = [i.astype(width).tobytes() for i in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, ids binary")
@@ -226,13 +215,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end: int, key
         from pyspark import TaskContext
         target, root = fs.FileSystem.from_uri(f"{folder}/files")
         part, seq = TaskContext.get().partitionId(), 0
-        for keys, ids in _files(batches, width, file_ids):
-            content = pack(keys, ids, rank)
+        for f in _files(batches, width, rank, file_ids):
+            parts = f.close()
             name = f"part-{part:07d}-{seq:05d}-{uuid.uuid4().hex}.tok"
             target.create_dir(root, recursive=True)
             with target.open_output_stream(f"{root}/{name}") as out:
-                out.write(content)
-            yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "name": name, "docs": len(keys), "ids": sum(map(len, ids)) // 4, "bytes": len(content)}], schema=schema)
+                for content in parts:
+                    out.write(content)
+            yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "name": name, "docs": len(f.keys), "ids": f.ids, "bytes": sum(map(len, parts))}], schema=schema)
             seq += 1
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
@@ -243,19 +233,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end: int, key
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def _files(batches: Iterable[pa.RecordBatch], width: str, file_ids: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows of a task in lots of about ``file_ids`` ids."""
-    keys, ids, held = [], [], 0
+def _files(batches: Iterable[pa.RecordBatch], width: str, rank: np.ndarray, file_ids: int) -> Iterator[FileParts]:
+    """Rows of a task in files of about ``file_ids`` ids."""
+    f, held = FileParts(rank), 0
     for b in batches:
         for k, t in zip(b.column(0), b.column(1)):
-            keys.append(k.as_py())
-            ids.append(np.frombuffer(t.as_buffer(), width).astype("<u4").tobytes())
-            held += len(ids[-1]) // 4
+            f.add(k.as_py(), np.frombuffer(t.as_buffer(), width))
+            held += f.lengths[-1]
             if held >= file_ids:
-                yield keys, ids
-                keys, ids, held = [], [], 0
-    if keys:
-        yield keys, ids
+                yield f
+                f, held = FileParts(rank), 0
+    if f.keys:
+        yield f
 
 
 def rank_table(spark: SparkSession, folder: str) -> np.ndarray:

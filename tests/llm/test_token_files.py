@@ -1,12 +1,13 @@
 """Token files against the library, over the coding's edges and the whole table."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from cipherledger.llm import registry, token_files
+from cipherledger.llm import registry, token_files, word_ids
 from cipherledger.session import stage_folder
 
 SF = "/root/testdata/sf0.001"
@@ -64,12 +65,17 @@ def test_files_of_lost_attempts_are_not_read(spark):
     assert token_files.read_files(spark, folder).count() == 50
 
 
-def test_remembered_cuts_are_bounded(monkeypatch):
-    monkeypatch.setattr(token_files, "CUTS", 20)
+def test_words_are_the_library_s(monkeypatch):
+    monkeypatch.setattr(word_ids, "MOST", 300)
+    monkeypatch.setattr(word_ids, "LOT", 400)
     with open(WORDS, encoding="utf-8") as f:
-        encoder = token_files.Encoder(f.read(), 2, True)
-    library = Tokenizer.from_file(WORDS)
-    for k in range(40):
-        text = " ".join(f"word{k * j % 37} common" for j in range(9))
-        assert encoder.encode(text) == np.array([*library.encode(text, add_special_tokens=False).ids, 2], np.uint32).tobytes()
-        assert len(encoder.known) <= 20
+        encoder = word_ids.Encoder(f.read(), 2, True)
+    library, rng = Tokenizer.from_file(WORDS), random.Random(3)
+    assert encoder.direct
+    plain = ["a", "Re", "s", "don", "'", "'", "'S", "ve", "'ll", "l", "É", "Ünd", "ÿ", ",", "!", "0", "17", ".", "-", "<", "|>", "\n", " ", "\t", "word", "x" * 70, "x" * 71]
+    odd = ["<|", "e\u0301", "\u0301", "\u0130", "\u2019", "\u00a0", "\u2003", "\u4e2d", "\u0663", "endoftext", "\x00", "\u200d", "×", "÷", "\x0b", "µ", "ß"]
+    texts = ["".join(rng.choice(plain if k % 2 else plain + odd) for _ in range(rng.randrange(0, 16))) for k in range(6000)]
+    texts += [" ".join(rng.choice(plain) for _ in range(900)), "y" * 2000, "", None]
+    for s in range(0, len(texts), 50):
+        for text, ids in zip(texts[s:s + 50], encoder.encode(texts[s:s + 50])):
+            assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
