@@ -51,8 +51,8 @@ def stage_directory(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage table and read it back.
+def write_stage(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """Write a stage table and read it back; ``options`` go to the writer.
 
     Used where a table feeds many later joins or an iteration: it cuts the lineage,
     survives lost executors, lets every reader prune columns, and gives the optimizer
@@ -60,7 +60,7 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out
