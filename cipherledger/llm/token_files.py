@@ -39,9 +39,9 @@ from ..session import drop_stage, write_stage
 from .word_ids import Encoder
 
 #: Ids in a file at least, but for the last of a task; rows in a task's range.
-FILE_IDS, RANGE_ROWS = 1 << 24, 1 << 15
-#: Ids coded at once.
-STEP = 1 << 18
+FILE_IDS, RANGE_ROWS = 1 << 23, 1 << 15
+#: Ids coded at once; bytes that the writer of ids holds before it writes them.
+STEP, GROUP_BYTES = 1 << 18, 8 << 20
 MAGIC = b"TOKVB001"
 HEAD = struct.Struct("<8s4Q")
 
@@ -57,6 +57,12 @@ def _encoder(*key) -> Encoder:
     return _ENCODERS[key]
 
 
+def _forget() -> None:
+    """Let the worker's encoder go. A function of the module, as a table that a task's own
+    function names would be a copy."""
+    _ENCODERS.clear()
+
+
 @lru_cache
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By control byte: data bytes of its four ids, place of each of the sixteen output bytes
@@ -174,6 +180,7 @@ def ranked(ids: DataFrame, width: str) -> DataFrame:
     """(rank, id): ids by falling count, ties by id. Tasks count their ids before the
     shuffle; the result has at most a row for each id of the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()  # this worker may have encoded before
         counts = np.zeros(0, np.int64)
         for b in batches:
             for t in b.column(0):
@@ -204,7 +211,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end: int, key
     coded = encoded(docs, tokenizer_path, end, key, text, cuts)
     with open(tokenizer_path, encoding="utf-8") as f:
         width = id_width(f.read(), end)
-    coded = write_stage(coded.withColumn("turn", F.rand(7)), "token-ids")
+    coded = write_stage(coded.withColumn("turn", F.rand(7)), "token-ids", **{"parquet.block.size": GROUP_BYTES})
     ranked(coded, width).write.parquet(f"{folder}/ranks")
     table = rank_table(spark, folder)
     rank = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
@@ -213,6 +220,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end: int, key
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
+        _forget()
         target, root = fs.FileSystem.from_uri(f"{folder}/files")
         part, seq = TaskContext.get().partitionId(), 0
         for f in _files(batches, width, rank, file_ids):

@@ -27,7 +27,8 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s0-9{LATIN}]+"
 SPACES = re.compile("[ \\t\\n\\r\\x0b\\x0c]+")
 SPACE, LETTER, DIGIT, SIGN = range(4)
 #: Characters cut at once; words hashed by place; slots and words of the table.
-LOT, LONG, SLOTS, MOST = 1 << 18, 64, 1 << 21, 600_000
+LOT, LONG, SLOTS, MOST = 1 << 18, 64, 1 << 20, 300_000
+SHIFT = 64 - (SLOTS.bit_length() - 1)
 
 
 @lru_cache
@@ -93,7 +94,7 @@ class Table:
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Numbers of hashes; -1 for those that are not there."""
         out, left = np.full(len(wanted), -1, np.int64), np.arange(len(wanted))
-        slot = (wanted >> np.uint64(43)).astype(np.int64)
+        slot = (wanted >> np.uint64(SHIFT)).astype(np.int64)
         while len(left):
             here = self.hash[slot]
             same = here == wanted[left]
@@ -103,7 +104,7 @@ class Table:
         return out
 
     def put(self, key: int, ids: list[int]) -> None:
-        slot = key >> 43
+        slot = key >> SHIFT
         while self.hash[slot]:
             slot = (slot + 1) % SLOTS
         self.hash[slot], self.number[slot] = key, len(self)
