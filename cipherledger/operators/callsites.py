@@ -11,11 +11,12 @@ from __future__ import annotations
 from functools import cache
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import case, extension, lookup
-from ..functions.python_calls import find_calls
+from ..functions import python_calls as scanner
 from ..knowledge import algorithms as kb
 from ..sources.schemas import DETECTOR_RANK, conform
 from .config import resolve_name
@@ -88,7 +89,10 @@ ARGUMENTS = sorted({a[5] for a in APIS if a[5]} | {"1"})
 
 @cache
 def _call_function():
-    """Calls of a batch of texts; made once there is a session."""
+    """Calls of a batch of texts; made once there is a session. The scanner travels with the
+    function, so workers need not find this package."""
+    cloudpickle.register_pickle_by_value(scanner)
+    find_calls = scanner.find_calls
     kind = pa.list_(pa.struct([
         ("line", pa.int32()), ("k", pa.int32()), ("callee", pa.string()), ("canon", pa.string()), ("args", pa.map_(pa.string(), pa.string())),
         ("integers", pa.map_(pa.string(), pa.int64())), ("sizes", pa.map_(pa.string(), pa.int64())), ("method", pa.string()), ("sibling", pa.string()), ("text", pa.string())]))
