@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import basename, case, let, present
 from ..functions.packages import capability, resolve_package, with_library
 from ..functions.text import strip
+from ..session import write_stage
 from ..sources.schemas import DETECTOR_RANK, conform
 from .facts import fact, facts_of, found, together
 
@@ -122,7 +123,10 @@ def container_facts(text: Column) -> Column:
 
 
 def container_detections(files: DataFrame) -> DataFrame:
-    return refine(facts_of(files, container_facts))
+    """Detections of build and orchestration files. Their facts are stored, as five kinds of
+    detection read them; other files are left out before their texts are looked at."""
+    path = F.col("path")
+    return refine(write_stage(facts_of(files.where(is_dockerfile(path) | is_orchestration(path)), container_facts), "container-facts"))
 
 
 def refine(facts: DataFrame) -> DataFrame:
