@@ -112,12 +112,14 @@ def dependencies(facts: DataFrame) -> DataFrame:
 
 
 def dependency_detections(files: DataFrame) -> DataFrame:
-    return refine(facts_of(files, manifest_facts))
+    return refine(facts_of(files.where(basename(F.col("path")).isin(*MANIFESTS)), manifest_facts))
 
 
 def refine(facts: DataFrame) -> DataFrame:
     """Cryptographic libraries among the declared packages."""
-    d = with_library(dependencies(facts).withColumn("library", resolve_package(F.col("name"))).where("library IS NOT NULL"))
+    # Names that agree but for case have one library, so other packages need not be grouped.
+    known = facts.where(F.col("fact") == "dependency").where(resolve_package(F.col("a")).isNotNull())
+    d = with_library(dependencies(known).withColumn("library", resolve_package(F.col("name"))))
     cap = capability(F.col("lib_pqc"), F.col("lib_since"), F.col("version"))
     return conform(d.select(
         F.col("path").alias("file"), F.lit(DETECTOR_RANK["dependency-manifest"]).alias("det_rank"), "ord",
