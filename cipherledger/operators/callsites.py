@@ -135,7 +135,8 @@ def matched_api(canon: Column, dotted: Column) -> Column:
 
 def call_detections(files: DataFrame) -> DataFrame:
     """High-confidence detections of resolved calls to known cryptographic APIs."""
-    called = files.select("path", python_calls(F.col("text")).alias("calls"))
+    python = files.where(extension(F.col("path")).isin(".py", ".pyi"))
+    called = python.select("path", python_calls(F.col("text")).alias("calls"))
     return refine(exploded(called, call_facts(F.col("calls"))))
 
 
