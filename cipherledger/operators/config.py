@@ -100,14 +100,32 @@ def _placed(kind: str, m: Column, **values) -> Column:
     return fact(kind, line=m["line"], pos=m["pos"], source=m["source"], **values)
 
 
+def protocol_facts(text: Column) -> Column:
+    directive = lambda i: lambda m: _placed("protocol", m, rule=i, a=m["value"])
+    return together(*[found(text, rx, directive(i), value=1) for i, (rx, _, _) in enumerate(DIRECTIVES)])
+
+
+def suite_facts(text: Column) -> Column:
+    return found(text, CIPHERS, lambda m: _placed("suite", m, a=strip(m["value"])), value=1)
+
+
+def group_facts(text: Column) -> Column:
+    return found(text, GROUPS, lambda m: _placed("group", m, a=strip(m["value"])), value=1)
+
+
+def reference_facts(text: Column) -> Column:
+    return found(text, REFERENCES, lambda m: _placed("reference", m, a=m["ref"], b=m["whole"]), whole=0, ref=1)
+
+
 def config_facts(text: Column) -> Column:
     """Directives, suite strings, groups and references of a configuration file."""
-    directive = lambda i: lambda m: _placed("protocol", m, rule=i, a=m["value"])
-    directives = [found(text, rx, directive(i), value=1) for i, (rx, _, _) in enumerate(DIRECTIVES)]
-    return F.when(is_config(F.col("path")), together(
-        *directives, found(text, CIPHERS, lambda m: _placed("suite", m, a=strip(m["value"])), value=1),
-        found(text, GROUPS, lambda m: _placed("group", m, a=strip(m["value"])), value=1),
-        found(text, REFERENCES, lambda m: _placed("reference", m, a=m["ref"], b=m["whole"]), whole=0, ref=1)))
+    return F.when(is_config(F.col("path")), together(*[f(text) for f in (protocol_facts, suite_facts, group_facts, reference_facts)]))
+
+
+def settings(files: DataFrame, *builders) -> DataFrame:
+    """The facts that some of these builders find in configuration files; other files are
+    left out before their texts are looked at."""
+    return facts_of(files.where(is_config(F.col("path"))), *builders)
 
 
 def protocol_rows(facts: DataFrame) -> DataFrame:
@@ -186,4 +204,4 @@ def refine(facts: DataFrame) -> DataFrame:
 
 
 def config_detections(files: DataFrame) -> DataFrame:
-    return refine(facts_of(files, config_facts))
+    return refine(settings(files, config_facts))
