@@ -63,8 +63,8 @@ LOOSE_PREFIXES = ("aes", "sha3-", "sha", "rsa", "ml-kem", "ml-dsa")
 
 
 def is_config(path: Column) -> Column:
-    hinted = F.lower(path).rlike("|".join(h.replace(".", r"\.") for h in HINTS))
-    return hinted | extension(path).isin(*EXTENSIONS)
+    low = F.lower(path)
+    return reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in HINTS]) | extension(path).isin(*EXTENSIONS)
 
 
 def resolve_name(name: Column) -> Column:
