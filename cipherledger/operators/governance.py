@@ -59,12 +59,12 @@ def latest_overrides(overrides: DataFrame) -> DataFrame:
 
 def override_audit(overrides: DataFrame, assets: DataFrame) -> DataFrame:
     """Every override with the value it replaced: the one before it, or the asset's."""
-    base = F.create_map(*[x for f in OVERRIDE_COLUMNS if f in assets.columns
-                          for x in (F.lit(f), F.col(f).cast("string"))])
-    current = assets.select("asset_id", base.alias("current"))
+    fields = [f for f in OVERRIDE_COLUMNS if f in assets.columns]
+    current = assets.select("asset_id", *[F.col(f).cast("string").alias("current_" + f) for f in fields])
+    now = F.coalesce(*[F.when(F.col("field") == f, F.col("current_" + f)) for f in fields])
     return (_with_previous(overrides, ["asset_id", "field"], "value", "earlier").join(current, "asset_id")
-            .withColumn("previous", F.coalesce("earlier", F.col("current")[F.col("field")]))
-            .drop("earlier", "current"))
+            .withColumn("previous", F.coalesce("earlier", now))
+            .drop("earlier", *["current_" + f for f in fields]))
 
 
 def apply_overrides(assets: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from cipherledger import session
+from cipherledger.operators import normalize
 from cipherledger.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NARROW = {"places", "links", "shared", "joint-sets", "joint-members", "coupling", "own-services", "algorithm-users", "peak"}
+NARROW = {"places", "applications", "links", "shared", "joint-sets", "joint-members", "coupling", "own-services", "algorithm-users", "peak"}
 
 
 @pytest.fixture
@@ -27,7 +28,7 @@ def fresh(spark):
     "asset_provenance", "headlines", "criticality_crosstab", "bom_components"])
 def test_row_wise_queries_store_no_assets(spark, fresh, name):
     entry.queries()[name](spark, SF)
-    assert fresh() <= {"places"}
+    assert fresh() <= {"places", "applications"}
 
 
 def test_coupled_properties_store_narrow_tables_only(spark, fresh):
@@ -35,6 +36,21 @@ def test_coupled_properties_store_narrow_tables_only(spark, fresh):
     assert fresh() <= NARROW
 
 
+@pytest.mark.parametrize("name,stages", [
+    ("graph_counts", {"certificates"}), ("bom_dependencies", {"referred"}), ("override_audit", {"held"}), ("inventory_served_page", {"inventory"})])
+def test_queries_store_only_what_they_read(spark, fresh, name, stages):
+    entry.queries()[name](spark, SF)
+    assert fresh() <= {"places", "applications"} | stages
+
+
+def test_rows_are_dealt_before_they_widen(spark):
+    from cipherledger.sources import driver_tables as dt
+    merged = normalize.merge(normalize.keyed(dt.derived(spark, SF).local.selectExpr(
+        "*", "'r' AS repository", "'a' AS application", "'b' AS late_app"), local=True), "file")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_shuffle_files_go_with_their_job(spark, fresh):
     registry.scan(spark, SF)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
