@@ -10,7 +10,7 @@ from cipherledger.operators import normalize
 from cipherledger.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NARROW = {"places", "applications", "links", "shared", "joint-sets", "joint-members", "coupling", "own-services", "algorithm-users", "peak"}
+NARROW = {"places", "applications", "links", "shared", "joint-sets", "joint-members", "coupling", "coupling-joint", "own-services", "algorithm-users", "peak"}
 
 
 @pytest.fixture
