@@ -48,7 +48,16 @@ def test_reach_counts(odd, kind, depth):
     assert got.columns == ["seed", "hops", "n"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["owner_reach"])
+@pytest.mark.parametrize("asset,depth", [("ca-1", 1), ("ca-2", 2), ("ca-5", 4)])
+def test_neighbourhood_edges(odd, asset, depth):
+    a, estate = odd
+    nodes, edges = graph.nodes(a, estate).localCheckpoint(), graph.edges(a, estate).localCheckpoint()
+    want = graph.neighbourhood(nodes, edges, asset, depth)[1]
+    got = graph.asset_neighbourhood(graph.asset_lines([a]), estate, asset, depth)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("src", "dst", "type").collect()))
+
+
+@pytest.mark.parametrize("name", ["owner_reach", "asset_neighbourhood"])
 def test_walks_store_no_list_of_all_nodes_or_edges(spark, name):
     kept, before = dict(registry._SCANS), set(session._STAGES)
     registry._SCANS.clear()
