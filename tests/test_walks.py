@@ -66,3 +66,13 @@ def test_walks_store_no_list_of_all_nodes_or_edges(spark, name):
     registry._SCANS.clear()
     registry._SCANS.update(kept)
     assert not stored & {"nodes", "edges"}
+
+
+def test_sets_of_a_certificate_are_joined_where_it_lies(spark):
+    s = registry.scan(spark, SF)
+    many = lambda *names: spark.range(10**8).selectExpr(*[f"cast(id AS string) AS {n}" for n in names], "id AS group_size", "id AS set_apps", "id AS set_services", "id AS set_units")
+    certs = s.asset_parts[-1]
+    part = graph.resource_columns(certs).withColumn("set_key", graph.set_key())
+    plan = graph.attach_sets(part, many("set_key", "certificate_node"), many("set_key", "certificate_node").limit(3))._jdf.queryExecution().executedPlan().toString()
+    before = part._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(by_dealt" not in plan and plan.count("Exchange hashpartitioning") == before.count("Exchange hashpartitioning") + 1
